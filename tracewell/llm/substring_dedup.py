@@ -1,9 +1,9 @@
 """Substring dedup by seed and extend: winnowed anchors, matches extended both ways, maximal repeats cut.
 
-A text's 8-word grams are hashed and winnowed: of each 20-word window the least gram is its anchor,
+A text's 7-word grams are hashed and winnowed: of each 20-word window the least gram is its anchor,
 so two texts that share 20 words share an anchor at the same place of the passage. Documents meet on
 their anchors. There the match is extended both ways: an anchor brings the hashes of the windows that
-reach up to 12 words to its left and right (those whose anchor it is), in text order, and a window
+reach up to 13 words to its left and right (those whose anchor it is), in text order, and a window
 that stood earlier in the group, by doc_id and start, is a repeat. Adjacent repeated windows merge
 into maximal repeats, whose words are removed.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import keyed, raw_bytes
 from .minhash_dedup import word_hashes
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 7
 #: Bytes of a window's hash; windows are compared under equal 64-bit anchors only.
 _WIDTH = 6
 _SEGMENT = 1 << 22
@@ -66,7 +66,7 @@ def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return grams[place[start]], start, np.diff(np.append(start, len(place))), _rolled(words, window)
 
 
-SEEDS = [T.StructField("anchor", T.LongType()), T.StructField("body", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("windows", T.BinaryType()), T.StructField("settled", T.BooleanType())]
+SEEDS = [T.StructField("anchor", T.LongType()), T.StructField("body", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("windows", T.BinaryType()), T.StructField("settled", T.BooleanType())]
 
 
 def seeds(src: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -166,9 +166,14 @@ def repeats(seeded: DataFrame, window: int = WINDOW) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def body_of(text: Column) -> Column:
+    """What tells documents of equal id apart: 31 bits, so that a seed stays small."""
+    return F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).cast("int")
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, body, spans (word intervals to remove, array of structs start, stop)."""
-    src = keyed(df, id_col, text_col).withColumn("body", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+    src = keyed(df, id_col, text_col).withColumn("body", body_of(F.col("text")))
     found = repeats(seeds(src, window, gram), window)
     return found.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -193,7 +198,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if digest:
         base = base.select(own[id_at], own[at])
     spans = repeated_spans(df, id_col, text_col, window, gram)
-    body = F.coalesce(F.xxhash64(F.col(own[at]).cast("string")), F.lit(0).cast("long"))
+    body = body_of(F.col(own[at]).cast("string"))
     both = base.withColumn("__own", body).join(spans, F.col(own[id_at]).eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("body")), "left").drop("doc_id", "body", "__own")
     if digest:
         schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *DIGEST])
