@@ -33,7 +33,9 @@ from .minhash_dedup import word_hashes
 
 WINDOW, GRAM = 20, 7
 #: Bytes of a window's hash; windows are compared under equal 64-bit anchors only.
-_WIDTH = 6
+_WIDTH = 5
+#: Documents whose seeds a task holds at once.
+_SLICE = 1024
 _SEGMENT = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xFFFFFF)
@@ -70,7 +72,7 @@ SEEDS = [T.StructField("anchor", T.LongType()), T.StructField("body", T.IntegerT
 
 
 def seeds(src: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """A row for each anchor: doc_id, body (the text's hash), start, and the 6-byte hashes of its windows.
+    """A row for each anchor: doc_id, body (the text's hash), start, and the 5-byte hashes of its windows.
 
     ``settled`` rows are known repeats already; their anchor only spreads them.
     """
@@ -78,7 +80,7 @@ def seeds(src: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (whole.slice(at, _SLICE) for whole in batches for at in range(0, whole.num_rows, _SLICE)):
             ids, bodies, raws = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), raw_bytes(batch.column("text"))
             docs, found, firsts, packed = [], [], [], []
             for d in sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, bodies[i])):
@@ -89,11 +91,11 @@ def seeds(src: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                     if len(part) < window:
                         continue
                     hashes, start, count, windows = anchors(word_hashes(part), window, gram)
-                    six = windows.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
+                    low = windows.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
                     docs += [d] * len(start)
                     found.append(hashes)
                     firsts += (start + at).tolist()
-                    packed += [six[s * _WIDTH : (s + c) * _WIDTH] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+                    packed += [low[s * _WIDTH : (s + c) * _WIDTH] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
             if not docs:
                 continue
             keys = np.concatenate(found).view(np.int64)
