@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 MIN_FAMILIES = 20
 LEADING = 3
 #: Lines of fewer tokens (headings, list marks) aren't templates.
@@ -28,10 +30,10 @@ MIN_TOKENS = 3
 
 def template_path(line: Column, leading: int = LEADING) -> Column:
     """The line's way through the tree as one hash: token count, leading tokens, leaf; null for none."""
-    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    masked = F.regexp_replace(spaced, r"(?<![^ ])[^ ]*[0-9@/][^ ]*", "<*>")
-    tokens = F.split(masked, " ")
-    return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), F.slice(tokens, 1, leading), masked))
+    spaced = F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    masked = F.when(spaced.rlike(r"[0-9@/]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9@/]*+[0-9@/][^ ]*+", "<*>")).otherwise(spaced)
+    blanks = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit("")))
+    return F.when(blanks >= MIN_TOKENS - 1, F.xxhash64(blanks + 1, F.substring_index(masked, " ", leading), masked))
 
 
 def drop_template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES, counts: bool = False) -> DataFrame:
@@ -45,7 +47,7 @@ def drop_template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     text, key = F.col(own[at]), F.col(own[id_at])
     lines = F.split(text, "\n", -1)
     seen = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), F.transform(lines, lambda line: template_path(line)).alias("paths")).where(F.col("paths").isNotNull())
-    seen = seen.withColumn("family", F.array_min("paths"))
+    seen = stash(seen.withColumn("family", F.array_min("paths")), "paths")  # read twice below, at 8 bytes a line
     each = seen.select("doc", "body", "family", F.posexplode("paths").alias("line", "path")).where(F.col("path").isNotNull())
     found = each.groupBy("path").agg(F.countDistinct("family").alias("families"), F.min(F.struct("doc", "body", "line")).alias("first")).where(F.col("families") >= min_families)
     hit = each.join(found, "path").where(~F.struct("doc", "body", "line").eqNullSafe(F.col("first")))
