@@ -44,17 +44,16 @@ def fold_merges(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if len(word) > 100:
         return _fold_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
-    scores = [ranks.get(word[i : i + 2], -1) for i in range(len(word) - 1)]
-    while scores:
-        best, at = min(((s, i) for i, s in enumerate(scores) if s >= 0), default=(-1, -1))
-        if at < 0:
-            break
+    none = 1 << 40
+    scores = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while scores and (best := min(scores)) < none:
+        at = scores.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
         del scores[at]
         if at > 0:
-            scores[at - 1] = ranks.get(parts[at - 1] + parts[at], -1)
+            scores[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
         if at < len(scores):
-            scores[at] = ranks.get(parts[at] + parts[at + 1], -1)
+            scores[at] = ranks.get(parts[at] + parts[at + 1], none)
     return tuple(ranks[p] for p in parts)
 
 
@@ -91,13 +90,16 @@ def decode(ids: Iterable[int], tokens: dict[int, bytes]) -> bytes:
 _TABLES: dict[str, tuple] = {}
 
 
-def tables(content: bytes) -> tuple[dict[bytes, int], dict[int, bytes], dict[str, tuple[str, tuple[int, ...]]]]:
-    """Ranks, their inverse and the memo, which a Python worker keeps from task to task."""
+def tables(content: bytes) -> tuple[dict[int, bytes], _Memo]:
+    """Token bytes by rank, and the memo, which a Python worker keeps from task to task."""
     key = hashlib.sha256(content).hexdigest()
     if key not in _TABLES:
         ranks = read_ranks(content)
-        _TABLES[key] = (ranks, {v: k for k, v in ranks.items()}, {})
-    return _TABLES[key]
+        _TABLES[key] = ({v: k for k, v in ranks.items()}, _Memo(ranks))
+    tokens, memo = _TABLES[key]
+    if len(memo) > MEMO:
+        memo.clear()
+    return tokens, memo
 
 
 class _Memo(dict):
@@ -123,13 +125,8 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str =
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    state: dict[str, _Memo] = {}
-
     def compute(batch: pa.RecordBatch) -> dict:
-        ranks, tokens, _ = tables(content.value)
-        memo = state.get("memo")
-        if memo is None or len(memo) > MEMO:
-            memo = state["memo"] = _Memo(ranks)
+        tokens, memo = tables(content.value)
         out: dict[str, list] = {f.name: [] for f in fields}
         for text in batch.column("text").to_pylist():
             found = [memo[w] for w in pieces(text or "", pattern)]
