@@ -301,7 +301,7 @@ def test_line_dedup(spark, docs, odd, empty):
     # against brute force where each document is a family: distinct texts, families told apart by an own line
     least = 3
     out = {r.doc_id: r.text for r in line_dedup.drop_template_lines(docs, min_families=least).collect()}
-    fam = {r.doc_id: r.f for r in docs.select("doc_id", F.array_min(F.transform(F.split("text", "\n", -1), lambda x: line_dedup.template_path(x))).alias("f")).collect()}
+    fam = {r.doc_id: r.f for r in docs.select("doc_id", F.array_min(line_dedup.template_paths(F.split("text", "\n", -1))).alias("f")).collect()}
     body = {r.doc_id: r.b for r in docs.select("doc_id", F.xxhash64("text").alias("b")).collect()}
     where = {}
     for r in docs.collect():

@@ -28,12 +28,19 @@ LEADING = 3
 MIN_TOKENS = 3
 
 
-def template_path(line: Column, leading: int = LEADING) -> Column:
-    """The line's way through the tree as one hash: token count, leading tokens, leaf; null for none."""
-    spaced = F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    masked = F.when(spaced.rlike(r"[0-9@/]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9@/]*+[0-9@/][^ ]*+", "<*>")).otherwise(spaced)
-    blanks = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit("")))
-    return F.when(blanks >= MIN_TOKENS - 1, F.xxhash64(blanks + 1, F.substring_index(masked, " ", leading), masked))
+def template_paths(lines: Column, leading: int = LEADING) -> Column:
+    """Each line's way through the tree as one hash: token count, leading tokens, leaf; null for none.
+
+    Three passes over the array, since an expression that a lambda names twice runs twice.
+    """
+    spaced = F.transform(lines, lambda x: F.trim(F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x)))
+    masked = F.transform(spaced, lambda x: F.when(x.rlike(r"[0-9@/]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9@/]*+[0-9@/][^ ]*+", "<*>")).otherwise(x))
+
+    def path(x: Column) -> Column:
+        blanks = F.length(x) - F.length(F.translate(x, " ", ""))
+        return F.when(F.substring_index(x, " ", MIN_TOKENS - 1) != x, F.xxhash64(blanks, F.substring_index(x, " ", leading), x))
+
+    return F.transform(masked, lambda x: path(x))
 
 
 def drop_template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES, counts: bool = False) -> DataFrame:
@@ -46,7 +53,7 @@ def drop_template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = df.toDF(*own)
     text, key = F.col(own[at]), F.col(own[id_at])
     lines = F.split(text, "\n", -1)
-    seen = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), F.transform(lines, lambda line: template_path(line)).alias("paths")).where(F.col("paths").isNotNull())
+    seen = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), template_paths(lines).alias("paths")).where(F.col("paths").isNotNull())
     seen = stash(seen.withColumn("family", F.array_min("paths")), "paths")  # read twice below, at 8 bytes a line
     each = seen.select("doc", "body", "family", F.posexplode("paths").alias("line", "path")).where(F.col("path").isNotNull())
     found = each.groupBy("path").agg(F.countDistinct("family").alias("families"), F.min(F.struct("doc", "body", "line")).alias("first")).where(F.col("families") >= min_families)
