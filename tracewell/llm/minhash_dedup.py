@@ -5,10 +5,13 @@
 3. Representatives that share a band share a bucket. In each bucket all members are paired with its
    centre alone: the member whose buckets are fullest, which is most often the original that the
    others vary. Pairs of likely signatures are confirmed on the full sets.
-4. The links' components are found. Where a bucket still holds several components, each member
-   outside its largest one is paired with the bucket's members of other components, unless tried
-   already, and step 4 repeats; so no link within a bucket is lost, while pairs that could tell
-   nothing new are never made.
+4. The links' components are found. Where buckets of a centre still hold several components, the
+   centre's members are described by their differences from the set S of the shingles that most of
+   them have. Let e be the size of a member's difference, n that of its set, h = (1 - t) / (1 + t) for
+   the threshold t, f = e - h n, and m the member of the least f. If x and y link and x doesn't link
+   with m, then e(x) + e(m) > h (n(x) + n(m)), and x and y share more than (f(y) - f(m)) / 2 elements of
+   their differences. So all are paired with m, and otherwise only where prefixes of differences
+   meet (:func:`_unresolved`): no link within a bucket is lost, and never are all paired with all.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^5)^26, about 2e-7.
 
@@ -169,15 +172,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = stash(pairs, "pairs")
     links = verified(tried, reps, texts, k, percent, bands * rows)
     same = stash(components(links), "components")
-    while True:
-        more = stash(_unresolved(members, same, tried), "pairs")
-        if more.isEmpty():
-            break
-        new = verified(more, reps, texts, k, percent, bands * rows)
-        tried = tried.unionByName(more)
-        if new.isEmpty():
-            break  # every cross pair of every bucket has been tried
-        links = stash(links.unionByName(new), "links")
+    more = stash(_unresolved(members, centres, same, tried, texts, k, percent), "pairs")
+    if not more.isEmpty():
+        links = stash(links.unionByName(verified(more, reps, texts, k, percent, bands * rows)), "links")
         same = stash(components(links), "components")
     roots = stash(classes.join(same, classes["doc_id"] == same["node"], "left").select("digest", F.coalesce("component", "doc_id").alias("component")), "roots")
     out = made.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
@@ -185,15 +182,58 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
-def _unresolved(members: DataFrame, same: DataFrame, tried: DataFrame) -> DataFrame:
-    """Untried pairs across components in buckets that hold several: members outside the largest one with all others."""
+def differences(spokes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """centre, doc_id, component, n (set size), nc (the centre's), and the shingles added to the centre's and lacking, of each (centre, doc_id, component)."""
+    both = spokes.join(texts.select("doc_id", "text"), "doc_id").join(texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("tc")), "centre")
+
+    def compute(batch: pa.RecordBatch) -> dict:
+        sets, made = _Sets(k, 64), {"n": [], "nc": [], "added": [], "lacking": []}
+        for centre, tc, text in zip(batch.column("centre").to_pylist(), raw_bytes(batch.column("tc")), raw_bytes(batch.column("text")), strict=True):
+            c, x = sets(centre, tc), shingle_set(text, k)
+            made["n"].append(len(x))
+            made["nc"].append(len(c))
+            made["added"].append(np.setdiff1d(x, c, assume_unique=True).view(np.int64))
+            made["lacking"].append(np.setdiff1d(c, x, assume_unique=True).view(np.int64))
+        return made
+
+    fields = [T.StructField(n, T.LongType()) for n in ("n", "nc")] + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("added", "lacking")]
+    return arrow_map(both.select("centre", "doc_id", "component", "tc", "text"), compute, fields, ("centre", "doc_id", "component"))
+
+
+def _unresolved(members: DataFrame, centres: DataFrame, same: DataFrame, tried: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Untried pairs (a, b) that may link components, from the buckets that hold several.
+
+    Differences from S are ordered alike for all members of a centre: shingles that S has not, which
+    few share, then those that S has. If two share o elements, the first e - o + 1 of each meet.
+    """
     placed = members.join(same, members["doc_id"] == same["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").select("bucket", "main")
-    open_ = stash(placed.join(mixed, "bucket"), "open")
-    outside = open_.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    crossed = outside.join(open_, "bucket").where("cx <> component").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    return crossed.join(tried, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").join(centres, "bucket").select("bucket", "centre")
+    spokes = stash(placed.join(mixed, "bucket").select("centre", "doc_id", "component").distinct(), "spokes")
+    made = stash(differences(spokes, texts, k), "differences")
+
+    # S is the centre's set but for the shingles in which more than half of the members differ from it.
+    changed = made.select("centre", F.explode(F.concat(F.transform("added", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("is_added"))), F.transform("lacking", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("is_added"))))).alias("e"))
+    often = changed.groupBy("centre", "e").agg(F.count("*").alias("times")).where("times > 1").join(made.groupBy("centre").agg(F.count("*").alias("size")), "centre").where("2 * times > size")
+    flips = often.groupBy("centre").agg(F.collect_list(F.when(F.col("e.is_added"), F.col("e.shingle"))).alias("gained"), F.collect_list(F.when(~F.col("e.is_added"), F.col("e.shingle"))).alias("lost"))
+    none = F.array().cast("array<bigint>")
+    turned = made.join(flips, "centre", "left").withColumn("gained", F.coalesce("gained", none)).withColumn("lost", F.coalesce("lost", none))
+    surplus = F.concat(F.array_except("added", "gained"), F.array_except("lost", "lacking"))
+    missing = F.concat(F.array_except("lacking", "lost"), F.array_except("gained", "added"))
+    less, more = 100 - percent, 100 + percent  # h = less / more; f is kept as the whole number more * f
+    told = turned.select("centre", "doc_id", "component", "n", F.concat(F.array_sort(surplus), F.array_sort(missing)).alias("diff")).withColumn("f", more * F.size("diff") - less * F.col("n"))
+    told = stash(told, "told")
+    nearest = told.groupBy("centre").agg(F.min(F.struct("f", "doc_id")).alias("m")).select("centre", F.col("m.f").alias("fm"), F.col("m.doc_id").alias("m"))
+    told = told.join(nearest, "centre").withColumn("e", F.size("diff"))
+
+    shared = F.expr(f"greatest(1, (f - fm) div {2 * more} + 1)")
+    # A partner's difference has e - W elements at least, W = less * n / percent being the most that a link can differ by.
+    sought = F.expr(f"greatest(1, e - {less} * n div {percent}, (f + fm + {2 * more - 1}) div {2 * more})")
+    prefix = lambda o: F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("e") - o + 1).cast("int"))
+    seek = told.where("f + fm > 0").select("centre", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.explode(prefix(sought)).alias("shingle"))
+    found = told.select("centre", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.explode(prefix(shared)).alias("shingle"))
+    met = seek.join(found, ["centre", "shingle"]).where("cx <> cy").select("x", "y")
+    met = met.unionByName(told.where("m <> doc_id").select(F.col("m").alias("x"), F.col("doc_id").alias("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
