@@ -229,9 +229,10 @@ def _unresolved(members: DataFrame, centres: DataFrame, same: DataFrame, tried:
     # A partner's difference has e - W elements at least, W = less * n / percent being the most that a link can differ by.
     sought = F.expr(f"greatest(1, e - {less} * n div {percent}, (f + fm + {2 * more - 1}) div {2 * more})")
     prefix = lambda o: F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("e") - o + 1).cast("int"))
-    seek = told.where("f + fm > 0").select("centre", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.explode(prefix(sought)).alias("shingle"))
-    found = told.select("centre", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.explode(prefix(shared)).alias("shingle"))
-    met = seek.join(found, ["centre", "shingle"]).where("cx <> cy").select("x", "y")
+    seek = told.where("f + fm > 0").select("centre", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("e").alias("ex"), F.col("n").alias("nx"), F.explode(prefix(sought)).alias("shingle"))
+    found = told.select("centre", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("e").alias("ey"), F.col("n").alias("ny"), F.explode(prefix(shared)).alias("shingle"))
+    # Sets differ by |e(x) - e(y)| at least.
+    met = seek.join(found, ["centre", "shingle"]).where(f"cx <> cy and {more} * abs(ex - ey) <= {less} * (nx + ny)").select("x", "y")
     met = met.unionByName(told.where("m <> doc_id").select(F.col("m").alias("x"), F.col("doc_id").alias("y")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
