@@ -204,7 +204,9 @@ def _unresolved(members: DataFrame, centres: DataFrame, same: DataFrame, tried:
     """Untried pairs (a, b) that may link components, from the buckets that hold several.
 
     Differences from S are ordered alike for all members of a centre: shingles that S has not, which
-    few share, then those that S has. If two share o elements, the first e - o + 1 of each meet.
+    few share, then those that S has. If two share o elements, the first e - o + 1 of each meet. A link
+    needs o = (f(x) + f(y)) / 2, so members are dealt into classes by f, and each brings to each class
+    it can link with the prefix that this class asks for.
     """
     placed = members.join(same, members["doc_id"] == same["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").join(centres, "bucket").select("bucket", "centre")
@@ -222,17 +224,30 @@ def _unresolved(members: DataFrame, centres: DataFrame, same: DataFrame, tried:
     less, more = 100 - percent, 100 + percent  # h = less / more; f is kept as the whole number more * f
     told = turned.select("centre", "doc_id", "component", "n", F.concat(F.array_sort(surplus), F.array_sort(missing)).alias("diff")).withColumn("f", more * F.size("diff") - less * F.col("n"))
     told = stash(told, "told")
-    nearest = told.groupBy("centre").agg(F.min(F.struct("f", "doc_id")).alias("m")).select("centre", F.col("m.f").alias("fm"), F.col("m.doc_id").alias("m"))
+    nearest = told.groupBy("centre").agg(F.min(F.struct("f", "doc_id")).alias("m"), F.max("n").alias("most")).select("centre", F.col("m.f").alias("fm"), F.col("m.doc_id").alias("m"), F.expr(f"greatest(1, {less} * most div 2)").alias("width"))
     told = told.join(nearest, "centre").withColumn("e", F.size("diff"))
 
-    shared = F.expr(f"greatest(1, (f - fm) div {2 * more} + 1)")
-    # A partner's difference has e - W elements at least, W = less * n / percent being the most that a link can differ by.
-    sought = F.expr(f"greatest(1, e - {less} * n div {percent}, (f + fm + {2 * more - 1}) div {2 * more})")
+    # x is the one of greater f. Linked, f(x) - f(y) is at most 2 h times the larger set, which has n / t at most.
+    reach = f"{200 * less} * n div {percent} + 1"
+    level = "(f - fm) div width"
+    lowest = f"greatest(0, f - ({reach}) - fm) div width"
+    highest = f"(f + ({reach}) - fm) div width"
+    # A partner of class c has an f of fm + c * width at least, which says how much the two must share.
+    overlap = lambda f: F.greatest(F.lit(1), F.expr(f"(f + {f} + {2 * more - 1}) div {2 * more}"))
     prefix = lambda o: F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("e") - o + 1).cast("int"))
-    seek = told.where("f + fm > 0").select("centre", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("e").alias("ex"), F.col("n").alias("nx"), F.explode(prefix(sought)).alias("shingle"))
-    found = told.select("centre", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("e").alias("ey"), F.col("n").alias("ny"), F.explode(prefix(shared)).alias("shingle"))
-    # Sets differ by |e(x) - e(y)| at least.
-    met = seek.join(found, ["centre", "shingle"]).where(f"cx <> cy and {more} * abs(ex - ey) <= {less} * (nx + ny)").select("x", "y")
+
+    def dealt(rows: DataFrame, first: str, last: str, key: tuple[str, ...], names: dict) -> DataFrame:
+        """A row for each class of partners and each shingle of the prefix that holds for the class; a hash keys it, since a collision only adds a pair to verify."""
+        each = rows.withColumn("own", F.expr(level)).withColumn("class", F.explode(F.sequence(F.expr(first), F.expr(last))))
+        each = each.select("*", F.posexplode(prefix(overlap("fm + class * width"))).alias("at", "shingle"))
+        return each.select(F.xxhash64("centre", "shingle", *key).alias("key"), *[F.col(c).alias(n) for c, n in names.items()])
+
+    seek = dealt(told.where("f + fm > 0"), lowest, level, ("own", "class"), {"doc_id": "x", "component": "cx", "e": "ex", "n": "nx", "f": "fx", "at": "at_x"})
+    found = dealt(told.where(f"({highest}) >= greatest(0, -2 * fm) div width"), f"greatest({level}, greatest(0, -2 * fm) div width)", highest, ("class", "own"), {"doc_id": "y", "component": "cy", "e": "ey", "n": "ny", "f": "fy", "at": "at_y"})
+    needed = f"((fx + fy + {2 * more - 1}) div {2 * more})"
+    # Sets differ by |e(x) - e(y)| at least, and the first common element leaves room for the others in both.
+    room = f"at_x + {needed} <= ex and at_y + {needed} <= ey"
+    met = seek.join(found, "key").where(f"cx <> cy and fx >= fy and {more} * abs(ex - ey) <= {less} * (nx + ny) and {room}").select("x", "y")
     met = met.unionByName(told.where("m <> doc_id").select(F.col("m").alias("x"), F.col("doc_id").alias("y")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
