@@ -28,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines of recurring templates go; the row stays."""
-    return _counted(line_dedup.drop_template_lines(docs))
+    return _counted(line_dedup.drop_recurring_lines(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,6 +317,29 @@ def test_line_dedup(spark, docs, odd, empty):
     assert line_dedup.drop_template_lines(empty).count() == 0
 
 
+def unlike(seed, n, boilerplate):
+    """n documents of three own lines each, with the lines of boilerplate between them."""
+    rng = random.Random(seed)
+    own = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(6))
+    return ["\n".join([own(), *boilerplate, own(), own()]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [20, 100])
+def test_line_dedup_families(spark, n):
+    rows = []
+    for seed in range(8):  # other texts, other hashes
+        rows += unlike(seed, n, [f"Shared {chr(97 + seed)} line {x} stands here" for x in ("one", "two", "three", "four")])
+    near = unlike(99, 1, ["first part of it", "second part of it", "third part of it", *(f"part {x} of it all" for x in "abcdefghijklmnop")])[0].split("\n")
+    copies = ["\n".join(f"changed {chr(97 + i % 26)}{chr(97 + i // 26)} line here" if j == i % len(near) else x for j, x in enumerate(near)) for i in range(90)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows + copies)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df, counts=True).collect()}
+    for i, text in enumerate(rows):
+        want = text if i % n == 0 else "\n".join(x for x in text.split("\n") if not x.startswith("Shared"))  # the first stays
+        assert got[i].text == want and got[i].n_dropped == (4 if i % n else 0)
+    # 90 near copies, a line changed in each, are few families
+    assert all(got[i].text == t for i, t in enumerate(copies, len(rows)))
+
+
 # 8
 
 

@@ -38,7 +38,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_template_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return line_dedup.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
