@@ -340,6 +340,18 @@ def test_line_dedup_families(spark, n):
     assert all(got[i].text == t for i, t in enumerate(copies, len(rows)))
 
 
+def test_line_dedup_short_lines(spark):
+    rows = unlike(1, 120, ["Read more", "Share", "", "7", "12 34"]) + unlike(2, 60, ["Next page"]) + [x.replace("<n>", str(i)) for i, x in enumerate(unlike(3, 200, ["<n>", "Page <n>"]))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_recurring_lines(df).collect()}
+    for x in ("Read more", "Share", "7", "12 34"):  # in 120 texts, of 100 that two tokens need
+        assert [i for i, t in got.items() if x in t and i < 120] == [0]
+    assert all("" in got[i] for i in range(120))  # blank lines stay
+    assert all("Next page" in got[i] for i in range(120, 180))  # 60 are too few
+    assert all(str(i) in got[180 + i] for i in range(200) if i != 7)  # numbers alone have nothing in common
+    assert [i for i in range(200) if f"Page {i}" in got[180 + i]] == [0]
+
+
 # 8
 
 

@@ -15,6 +15,9 @@ the rarest frequent template, which near copies share.
 :func:`drop_template_lines` is the earlier form, where the least hash of all templates is the family, so
 that a frequent template of low hash hides others. No query uses it; its test stands.
 
+Lines of one or two tokens are templates as well, at ``SHORT_TIMES`` as many families; where all their
+tokens are fields (a page number), the line as it stands is the template.
+
 Defined cases: a null text stays null and counts for nothing; blank lines are never templates and
 stay; a text whose lines all go becomes empty and its row stays; equal rows decide alike; other
 columns pass through, whatever their names.
@@ -31,8 +34,9 @@ MIN_FAMILIES = 20
 #: Documents with so many of their lines frequent are copies of one another.
 COPY_SHARE = (8, 9)
 LEADING = 3
-#: Lines of fewer tokens (headings, list marks) aren't templates.
+#: Lines of fewer tokens (headings, list marks) must recur in so many times as many families; in drop_template_lines they aren't templates.
 MIN_TOKENS = 3
+SHORT_TIMES = 5
 
 
 def template_paths(lines: Column, leading: int = LEADING) -> Column:
@@ -75,6 +79,28 @@ def drop_template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return cut.select(*out)
 
 
+def spaced(x: Column) -> Column:
+    """A line without white space at its ends and with single blanks between its tokens."""
+    return F.trim(F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x))
+
+
+def masked(x: Column) -> Column:
+    """A spaced line with its fields as wildcards; lines of one or two fields alone are left as they are."""
+    bare = x.rlike(r"^[^ 0-9@/]*[0-9@/][^ ]*( [^ 0-9@/]*[0-9@/][^ ]*)?$")
+    return F.when(x.rlike(r"[0-9@/]") & ~bare, F.regexp_replace(x, r"(?<![^ ])[^ 0-9@/]*+[0-9@/][^ ]*+", "<*>")).otherwise(x)
+
+
+def template(x: Column) -> Column:
+    """Hash of a masked line; its last bit is set for lines of fewer than MIN_TOKENS tokens; null for blank lines."""
+    short = F.substring_index(x, " ", MIN_TOKENS - 1) == x
+    return F.when(x != "", F.xxhash64(x).bitwiseAND(F.lit(-2)) + short.cast("long"))
+
+
+def needed(path: Column, min_families: int) -> Column:
+    """How many families make a template recur."""
+    return F.when(path.bitwiseAND(F.lit(1)) == 1, min_families * SHORT_TIMES).otherwise(min_families)
+
+
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES, counts: bool = False) -> DataFrame:
     """df with the lines of recurring templates dropped from its text; with ``counts``, also n_lines and n_dropped.
 
@@ -87,10 +113,10 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     text, key = F.col(own[at]), F.col(own[id_at])
     lines = F.split(text, "\n", -1)
     me = ["doc", "body"]
-    seen = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), template_paths(lines).alias("paths")).where(F.col("paths").isNotNull())
+    seen = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), F.transform(F.transform(F.transform(lines, spaced), masked), template).alias("paths")).where(F.col("paths").isNotNull())
     seen = stash(seen, "paths")  # read three times below, at 8 bytes a line
     each = seen.select(*me, F.posexplode("paths").alias("line", "path")).where(F.col("path").isNotNull())
-    frequent = each.groupBy("path").agg(F.countDistinct("body").alias("n"), F.min(F.struct(*me, "line")).alias("first")).where(F.col("n") >= min_families)
+    frequent = each.groupBy("path").agg(F.countDistinct("body").alias("n"), F.min(F.struct(*me, "line")).alias("first")).where(F.col("n") >= needed(F.col("path"), min_families))
     hits = each.join(frequent, "path").select(*me, "line", "path", "n", F.struct(*me, "line").eqNullSafe(F.col("first")).alias("stays"))
     by_doc = hits.groupBy(*me).agg(F.collect_set(F.struct("line", "path", "n", "stays")).alias("hits"))
     common, total = F.array_distinct(F.col("hits.line")), F.size(F.filter("paths", lambda p: p.isNotNull()))
@@ -100,7 +126,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     told = by_doc.alias("h").join(seen.alias("s"), F.col("h.doc").eqNullSafe(F.col("s.doc")) & (F.col("h.body") == F.col("s.body")))
     told = stash(told.select("h.doc", "h.body", "hits", family.alias("family")), "families")  # read twice below
     each_hit = told.select(*me, "family", F.inline("hits"))
-    found = each_hit.groupBy("path").agg(F.countDistinct("family").alias("families")).where(F.col("families") >= min_families).select("path")
+    found = each_hit.groupBy("path").agg(F.countDistinct("family").alias("families")).where(F.col("families") >= needed(F.col("path"), min_families)).select("path")
     gone = each_hit.where(~F.col("stays")).join(found, "path").groupBy(*me).agg(F.collect_set("line").alias("gone"))
     cut = base.withColumn("__body", F.xxhash64(text)).join(gone, key.eqNullSafe(F.col("doc")) & (F.col("__body") == F.col("body")), "left")
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i))
