@@ -352,6 +352,21 @@ def test_line_dedup_short_lines(spark):
     assert [i for i in range(200) if f"Page {i}" in got[180 + i]] == [0]
 
 
+def test_line_dedup_fields_without_digits(spark):
+    names = ["Anna", "Boris", "Carla", "Dmitri", "Elif", "Farid", "Greta"]
+    letters = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    plain = [f"Posted by N{letters(i)} L{letters(i * 7)} in {('Sports', 'News', 'Arts')[i % 3]}" for i in range(70)]  # names of one text each
+    often = [f"Written by {names[i % 7]} Q{letters(i % 30)} for the {('web', 'print')[i % 2]} edition" for i in range(210)]  # names of 30 texts, 30 last names
+    prose = [f"It was a{letters(i)} b{letters(i)} c{letters(i)} d{letters(i)}" for i in range(60)]  # shares two words only
+    lines = plain + often + prose
+    rows = [t.replace("<x>", x) for t, x in zip(unlike(7, len(lines), ["<x>"]), lines, strict=True)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df, counts=True).collect()}
+    stays = [i for i, x in enumerate(lines) if x in got[i].text.split("\n")]
+    assert stays == [0, 70, *range(280, 340)]
+    assert all(got[i].n_dropped == (i not in stays) for i in range(len(lines)))
+
+
 # 8
 
 

@@ -1,8 +1,11 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, to a
-leaf. Fields that vary (tokens with a digit, an at sign or a slash) become a wildcard on the way and
-in the leaf, which leaves a template. A template recurs if it stands in many unlike documents; its
+leaf. Tokens with a digit, an at sign or a slash become a wildcard first, which leaves the line's own template.
+In a leaf of many texts, what varies at a place becomes a wildcard as well, in three ways: tokens of few
+texts there, all tokens of a place that has many, and all but a token that most lines have there. A line so
+belongs to up to four templates, and goes where one of them recurs. Generalised templates hold ``LEAST_FIXED`` tokens or more, and half of their tokens or more, as they are.
+A template recurs if it stands in many unlike documents; its
 lines are dropped, but for the first (least doc_id, then the text's hash, then the line), so that no
 text leaves the corpus altogether.
 
@@ -34,6 +37,8 @@ MIN_FAMILIES = 20
 #: Documents with so many of their lines frequent are copies of one another.
 COPY_SHARE = (8, 9)
 LEADING = 3
+#: Leading tokens on the way to a leaf of the tree that generalises, and tokens that its templates keep at least.
+TREE_LEADING, LEAST_FIXED = 2, 3
 #: Lines of fewer tokens (headings, list marks) must recur in so many times as many families; in drop_template_lines they aren't templates.
 MIN_TOKENS = 3
 SHORT_TIMES = 5
@@ -101,6 +106,42 @@ def needed(path: Column, min_families: int) -> Column:
     return F.when(path.bitwiseAND(F.lit(1)) == 1, min_families * SHORT_TIMES).otherwise(min_families)
 
 
+def leaf(x: Column) -> Column:
+    """A spaced line's leaf: token count and masked leading tokens; null where the line is too short to generalise."""
+    blanks = F.length(x) - F.length(F.translate(x, " ", ""))
+    return F.when(blanks >= LEAST_FIXED, F.xxhash64(blanks, masked(F.substring_index(x, " ", TREE_LEADING))))
+
+
+def generalised(base: DataFrame, seen: DataFrame, lines: Column, min_families: int) -> DataFrame:
+    """(path, wider): for lines' own templates in leaves of many texts, the generalised ones.
+
+    Only lines of such leaves are read by token, each own template once, with its number of texts.
+    """
+    each = seen.select("body", F.explode(F.arrays_zip("paths", "leaves")).alias("at")).select("body", F.col("at.paths").alias("path"), F.col("at.leaves").alias("leaf"))
+    full = each.where(F.col("leaf").isNotNull()).groupBy("leaf").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_families).select("leaf")
+    text = base.select(F.explode(lines).alias("line")).select(spaced(F.col("line")).alias("line"))
+    text = text.withColumn("leaf", leaf(F.col("line"))).where(F.col("leaf").isNotNull()).join(F.broadcast(full), "leaf")  # 8 bytes for a leaf of many texts
+    text = text.select("leaf", masked(F.col("line")).alias("line")).distinct().withColumn("path", template(F.col("line")))
+    many = each.join(F.broadcast(full), "leaf", "left_semi").groupBy("path").agg(F.countDistinct("body").alias("texts"))
+    forms = text.join(many, "path")
+    forms = stash(forms.select("path", "leaf", "texts", F.transform(F.split("line", " "), lambda t: F.when(t != "<*>", F.xxhash64(t))).alias("tokens")), "forms")  # read twice below
+    tokens = forms.select("path", "leaf", "texts", F.posexplode("tokens").alias("place", "token"))
+    there = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n"))
+    wide = there.groupBy("leaf", "place").agg(F.count("token").alias("kinds"), F.sum("n").alias("all"))
+    there = there.join(wide, ["leaf", "place"]).where(F.col("token").isNotNull() & ((F.col("n") >= min_families) | (F.col("kinds") < min_families) | (F.col("n") * 2 > F.col("all"))))
+    facts = there.select("leaf", "place", "token", (F.col("n") >= min_families).alias("common"), (F.col("kinds") < min_families).alias("narrow"), (F.col("n") * 2 > F.col("all")).alias("most"))
+    kept = tokens.select("path", "leaf", "place", "token").join(facts, ["leaf", "place", "token"], "left")
+    lead = F.col("place") < TREE_LEADING
+    ways = [F.coalesce(F.when(lead | F.col(c), F.col("token")), F.lit(0)) for c in ("common", "narrow", "most")]
+    rows = kept.groupBy("path", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", *[w.alias(f"way{i}") for i, w in enumerate(ways)], F.coalesce("token", F.lit(0)).alias("own")))).alias("ways"))
+    made = []
+    for w in ("way0", "way1", "way2"):
+        fixed = F.size(F.filter(F.col(f"ways.{w}"), lambda t: t != 0))
+        good = (fixed >= LEAST_FIXED) & (fixed * 2 >= F.size("ways")) & (F.col(f"ways.{w}") != F.col("ways.own"))
+        made.append(F.when(good, F.xxhash64("leaf", f"ways.{w}").bitwiseAND(F.lit(-2))))
+    return rows.select("path", F.array_distinct(F.array_compact(F.array(*made))).alias("wider")).where(F.size("wider") > 0)
+
+
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES, counts: bool = False) -> DataFrame:
     """df with the lines of recurring templates dropped from its text; with ``counts``, also n_lines and n_dropped.
 
@@ -113,9 +154,13 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     text, key = F.col(own[at]), F.col(own[id_at])
     lines = F.split(text, "\n", -1)
     me = ["doc", "body"]
-    seen = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), F.transform(F.transform(F.transform(lines, spaced), masked), template).alias("paths")).where(F.col("paths").isNotNull())
-    seen = stash(seen, "paths")  # read three times below, at 8 bytes a line
+    clean = base.select(key.alias("doc"), F.xxhash64(text).alias("body"), F.transform(lines, spaced).alias("lines")).where(F.col("lines").isNotNull())
+    seen = clean.select(*me, F.transform(F.transform("lines", masked), template).alias("paths"), F.transform("lines", leaf).alias("leaves"))
+    seen = stash(seen, "paths")  # read five times below, at 16 bytes a line
+    wider = generalised(base, seen, lines, min_families)
     each = seen.select(*me, F.posexplode("paths").alias("line", "path")).where(F.col("path").isNotNull())
+    all_of = F.concat(F.array("path"), F.coalesce("wider", F.array().cast("array<bigint>")))
+    each = each.join(wider, "path", "left").select(*me, "line", F.explode(all_of).alias("path"))
     frequent = each.groupBy("path").agg(F.countDistinct("body").alias("n"), F.min(F.struct(*me, "line")).alias("first")).where(F.col("n") >= needed(F.col("path"), min_families))
     hits = each.join(frequent, "path").select(*me, "line", "path", "n", F.struct(*me, "line").eqNullSafe(F.col("first")).alias("stays"))
     by_doc = hits.groupBy(*me).agg(F.collect_set(F.struct("line", "path", "n", "stays")).alias("hits"))
