@@ -328,7 +328,7 @@ def unlike(seed, n, boilerplate):
 def test_line_dedup_families(spark, n):
     rows = []
     for seed in range(8):  # other texts, other hashes
-        rows += unlike(seed, n, [f"Shared {chr(97 + seed)} line {x} stands here" for x in ("one", "two", "three", "four")])
+        rows += unlike(seed, n, [f"Shared {chr(97 + seed)} {x}" for x in ("one stands here", "second one stands here", "third of them is longer", "fourth line with more words than others")])
     near = unlike(99, 1, ["first part of it", "second part of it", "third part of it", *(f"part {x} of it all" for x in "abcdefghijklmnop")])[0].split("\n")
     copies = ["\n".join(f"changed {chr(97 + i % 26)}{chr(97 + i // 26)} line here" if j == i % len(near) else x for j, x in enumerate(near)) for i in range(90)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows + copies)], "doc_id long, text string")

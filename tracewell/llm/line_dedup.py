@@ -86,7 +86,10 @@ def drop_template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def spaced(x: Column) -> Column:
     """A line without white space at its ends and with single blanks between its tokens."""
-    return F.trim(F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x))
+    white = F.lit(False)
+    for w in ("  ", "\t", "\n", "\v", "\f", "\r"):  # cheaper than an expression over each line
+        white = white | x.contains(w)
+    return F.trim(F.when(white, F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x))
 
 
 def masked(x: Column) -> Column:
@@ -108,7 +111,7 @@ def needed(path: Column, min_families: int) -> Column:
 
 def leaf(x: Column) -> Column:
     """A spaced line's leaf: token count and masked leading tokens; null where the line is too short to generalise."""
-    blanks = F.length(x) - F.length(F.translate(x, " ", ""))
+    blanks = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     return F.when(blanks >= LEAST_FIXED, F.xxhash64(blanks, masked(F.substring_index(x, " ", TREE_LEADING))))
 
 
@@ -119,8 +122,9 @@ def generalised(base: DataFrame, seen: DataFrame, lines: Column, min_families: i
     """
     each = seen.select("body", F.explode(F.arrays_zip("paths", "leaves")).alias("at")).select("body", F.col("at.paths").alias("path"), F.col("at.leaves").alias("leaf"))
     full = each.where(F.col("leaf").isNotNull()).groupBy("leaf").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_families).select("leaf")
-    text = base.select(F.explode(lines).alias("line")).select(spaced(F.col("line")).alias("line"))
-    text = text.withColumn("leaf", leaf(F.col("line"))).where(F.col("leaf").isNotNull()).join(F.broadcast(full), "leaf")  # 8 bytes for a leaf of many texts
+    text = base.select(F.transform(lines, spaced).alias("lines")).select("lines", F.transform("lines", leaf).alias("leaves"))  # arrays, so that each line is evaluated once
+    text = text.select(F.explode(F.arrays_zip("lines", "leaves")).alias("at")).select(F.col("at.lines").alias("line"), F.col("at.leaves").alias("leaf"))
+    text = text.join(F.broadcast(full), "leaf")  # 8 bytes for a leaf of many texts
     text = text.select("leaf", masked(F.col("line")).alias("line")).distinct().withColumn("path", template(F.col("line")))
     many = each.join(F.broadcast(full), "leaf", "left_semi").groupBy("path").agg(F.countDistinct("body").alias("texts"))
     forms = text.join(many, "path")
