@@ -425,6 +425,21 @@ def test_order_minhash(spark, docs, odd, empty):
     assert len(lone) == 1 and lone[0].near_next == 1.0
 
 
+def test_order_minhash_compares_across_few_words(spark):
+    text = [f"word{i}" for i in range(30)]
+    for n, m in ((23, 24), (22, 24), (25, 21), (23, 23), (2, 3)):
+        rows = [(1, " ".join(text[:n])), (2, " ".join(text[:m]))]
+        got = {r.doc_id: r for r in order_minhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1].near_next == got[2].near_next > 0.4
+        assert order_minhash.compare(*(t for _, t in rows)) == got[1].near_next
+    for half in ("a b c d e f g h i j k l m n o p " * 4, "longerwords " * 60):
+        rows = [(1, " ".join(text[:23])), (2, half)]
+        got = {r.doc_id: r for r in order_minhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1].near_edited > 0
+    # texts without anything in common stay apart
+    assert order_minhash.compare("a b c d", " ".join(text)) == 0.0 and order_minhash.compare("", " ".join(text)) == 0.0
+
+
 # 10
 
 

@@ -5,6 +5,9 @@ words; of characters in a text of few words) are taken, put in the order of the
 they share both k-mers in the same order. The square root of the share of equal tuples puts the
 likeness on the scale of single k-mers: 0 without any, 1 for equal texts.
 
+Sketches of character and of word k-mers don't compare. So where one of two texts is of few words and
+the other isn't, :func:`compare` takes the words of both; fingerprints are those of each text alone.
+
 Defined cases: a null text is empty; an empty text (or one of white space) has an empty
 fingerprint, alike (1) to another empty one only; a text shorter than a k-mer is one k-mer; equal
 ids are ordered by their text; nulls among the ids come first; a lone document is its own next.
@@ -44,13 +47,18 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def kmers(text: str, k: int = K) -> np.ndarray:
-    """Hashes of the occurrence-numbered k-mers in text order."""
+def few(text: str) -> bool:
+    """Whether a text is of few words (and of one at least), so that its k-mers are of characters."""
+    return 0 < len(text.encode("utf-8", "surrogatepass").split(None, FEW)) < FEW
+
+
+def kmers(text: str, k: int = K, words_only: bool = False) -> np.ndarray:
+    """Hashes of the occurrence-numbered k-mers in text order; with ``words_only``, of words in short texts too."""
     digest = xxhash.xxh3_64_intdigest
     split = text.encode("utf-8", "surrogatepass").split()
     if not split:
         return np.empty(0, dtype=np.uint64)
-    if len(split) < FEW:
+    if len(split) < FEW and not words_only:
         words, k = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) * _ODD, K_CHARS
     else:
         words = np.array([digest(w) for w in split], dtype=np.uint64)
@@ -68,9 +76,9 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     return _mix(h + number * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch(text: str, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
+def sketch(text: str, k: int = K, sketches: int = SKETCHES, words_only: bool = False) -> np.ndarray:
     """A 32-bit hash for each function; none for a text without words."""
-    x = kmers(text, k)
+    x = kmers(text, k, words_only)
     if not len(x):
         return np.empty(0, dtype=np.uint32)
     a, b = _multipliers(sketches)
@@ -100,6 +108,14 @@ def likeness(one: np.ndarray, two: np.ndarray) -> float:
     return float(np.sqrt((one == two).mean()))
 
 
+def compare(one: str, two: str, k: int = K, sketches: int = SKETCHES, made: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Likeness of two texts by k-mers of one kind; ``made`` has their own sketches where there are some."""
+    a, b = made or (sketch(one, k, sketches), sketch(two, k, sketches))
+    if len(a) and len(b) and few(one) != few(two):
+        a, b = (sketch(t, k, sketches, True) if few(t) else s for t, s in ((one, a), (two, b)))
+    return likeness(a, b)
+
+
 def as_text(one: np.ndarray) -> str:
     return one.astype(">u4").tobytes().hex()
 
@@ -179,4 +195,4 @@ def _compare(doc, text: str, own: np.ndarray, following: str, next_sketch: np.nd
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
     other = sketch(edited, k, sketches)
-    return doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(other), likeness(own, other), likeness(own, next_sketch)
+    return doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(other), compare(text, edited, k, sketches, (own, other)), compare(text, following, k, sketches, (own, next_sketch))
