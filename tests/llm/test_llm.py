@@ -247,6 +247,19 @@ def test_substring_dedup(spark, docs, odd, empty):
     assert substring_dedup.substring_dedup(empty, digest=True).count() == 0
 
 
+def test_substring_dedup_compares_whole_hashes(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    src = spark.createDataFrame([(1, 7, text)], "doc_id long, body int, text string")
+    own = substring_dedup.anchors(substring_dedup.word_hashes([w.encode() for w in text.split()]))[3]
+    made = substring_dedup.seeds(src).orderBy("start").collect()
+    assert b"".join(r.windows for r in made) == own.astype("<u8").tobytes()
+    # windows of one anchor whose hashes differ in the upper bits alone are unlike
+    for bit in (40, 48, 63):
+        rows = [(1, 5, 1, 0, (77).to_bytes(8, "little"), False), (2, 5, 2, 0, (77 | 1 << bit).to_bytes(8, "little"), False), (3, 5, 3, 0, (77).to_bytes(8, "little"), False)]
+        df = spark.createDataFrame(rows, "doc_id long, anchor long, body int, start int, windows binary, settled boolean")
+        assert [r.doc_id for r in substring_dedup.repeats(df).collect()] == [3]
+
+
 # 6
 
 

@@ -33,7 +33,7 @@ from .minhash_dedup import word_hashes
 
 WINDOW, GRAM = 20, 7
 #: Bytes of a window's hash; windows are compared under equal 64-bit anchors only.
-_WIDTH = 5
+_WIDTH = 8
 #: Documents whose seeds a task holds at once.
 _SLICE = 1024
 _SEGMENT = 1 << 22
@@ -72,7 +72,7 @@ SEEDS = [T.StructField("anchor", T.LongType()), T.StructField("body", T.IntegerT
 
 
 def seeds(src: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """A row for each anchor: doc_id, body (the text's hash), start, and the 5-byte hashes of its windows.
+    """A row for each anchor: doc_id, body (the text's hash), start, and the 8-byte hashes of its windows.
 
     ``settled`` rows are known repeats already; their anchor only spreads them.
     """
