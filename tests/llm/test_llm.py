@@ -207,6 +207,26 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert minhash_dedup.near_duplicates(odd).count() == odd.count()
     assert minhash_dedup.near_duplicates(empty).count() == 0
     assert minhash_dedup.keep_one_each(odd).columns == odd.columns
+    clash = spark.createDataFrame([(1, "a b c d e f g", 1), (2, "a b c d e f g", 2), (3, None, 3)], "doc_id long, text string, kept_id long").withColumn("__kept", F.lit(1))
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one_each(clash).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("k, percent, bands, rows", [(3, 85, 26, 5), (5, 80, 32, 4)])
+def test_near_duplicates_whole_table(spark, k, percent, bands, rows):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = minhash_dedup.near_duplicates(docs, k=k, percent=percent, bands=bands, rows=rows).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs.collect(), k, percent)
+
+
+def test_near_duplicates_ids_with_several_texts(spark):
+    """20 ids with two unlike texts each, and a near copy of either text under an id of its own: one group of three ids each."""
+    rng, rows = random.Random(8), []
+    for i in range(20):
+        one, two = ([f"w{rng.randint(0, 10**6)}" for _ in range(80)] for _ in range(2))
+        rows += [(10 * i + 5, " ".join(one)), (10 * i + 5, " ".join(two)), (10 * i + 7, " ".join(one[:-1])), (10 * i + 2, " ".join(two[1:]))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 80 and all(r.component_id == r.doc_id // 10 * 10 + 2 for r in got)
+    assert sorted(r.doc_id for r in got if r.kept) == [10 * i + 2 for i in range(20)]
 
 
 # 5
