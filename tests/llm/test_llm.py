@@ -262,22 +262,43 @@ def test_substring_dedup(spark, docs, odd, empty):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeats(df.collect())
         cut = {r.doc_id: words(r.text) for r in substring_dedup.substring_dedup(df).collect()}
         assert all(hashlib.sha256(" ".join(cut[r.doc_id]).encode()).hexdigest() == r.kept_sha256 for r in got)
-    assert substring_dedup.substring_dedup(odd).columns == odd.columns
-    assert substring_dedup.substring_dedup(odd).count() == odd.count()
+    clash = odd.withColumn("ref", F.lit(1)).withColumn("spans", F.lit("x")).withColumn("span_id", F.lit(None).cast("long")).withColumn("c0", F.lit(2))
+    out = substring_dedup.substring_dedup(clash)
+    assert out.columns == clash.columns
+    assert sorted(str(r.text) for r in out.collect()) == sorted("the" if t and t.startswith("the the") else str(t) for t in ODD + [ODD[5]])
     assert substring_dedup.substring_dedup(empty, digest=True).count() == 0
 
 
-def test_substring_dedup_compares_whole_hashes(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    src = spark.createDataFrame([(1, 7, text)], "doc_id long, body int, text string")
-    own = substring_dedup.anchors(substring_dedup.word_hashes([w.encode() for w in text.split()]))[3]
-    made = substring_dedup.seeds(src).orderBy("start").collect()
-    assert b"".join(r.windows for r in made) == own.astype("<u8").tobytes()
-    # windows of one anchor whose hashes differ in the upper bits alone are unlike
-    for bit in (40, 48, 63):
-        rows = [(1, 5, 1, 0, (77).to_bytes(8, "little"), False), (2, 5, 2, 0, (77 | 1 << bit).to_bytes(8, "little"), False), (3, 5, 3, 0, (77).to_bytes(8, "little"), False)]
-        df = spark.createDataFrame(rows, "doc_id long, anchor long, body int, start int, windows binary, settled boolean")
-        assert [r.doc_id for r in substring_dedup.repeats(df).collect()] == [3]
+def test_substring_dedup_compares_words(spark):
+    """Rows that meet on a key are repeats by their words alone."""
+    said = [" ".join(f"{x}{i}" for i in range(20)).encode() for x in "aab"]
+    rows = [(9, d, 1, 0, w, 1) for d, w in enumerate(said)] + [(8, 7, 1, 5, None, 3)]
+    df = spark.createDataFrame([(k, d, r, s, w if w is None else bytearray(w), n) for k, d, r, s, w, n in rows], "key long, doc_id long, ref long, start int, words binary, windows int")
+    assert sorted(map(tuple, substring_dedup.repeats(df).collect())) == [(1, 1, 0, 20), (7, 1, 5, 27)]
+
+
+def test_substring_dedup_hot_anchors(spark, monkeypatch):
+    """A phrase in many unlike surroundings, and repeats among these, by single windows."""
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    rng, rows = random.Random(9), []
+    phrase = [f"h{i}" for i in range(9)]
+    for i in range(300):
+        own = [f"v{rng.randint(0, 10**6)}" for _ in range(60)]
+        if rows and i % 3 == 0:
+            own = words(rng.choice(rows)[1])
+            own[rng.randint(0, 20)] = "changed"
+        else:
+            own[30:30] = phrase
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = substring_dedup.substring_dedup(df, digest=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeats(df.collect())
+
+
+def test_substring_dedup_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = substring_dedup.substring_dedup(docs, digest=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeats(docs.collect())
 
 
 # 6
