@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: inputs, Arrow maps, and files in the shared folder."""
+"""What the operators of this subpackage share: inputs, Arrow maps, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import drop_stash, stash  # noqa: F401  the operators take them from here
+
 #: White space that separates words everywhere here: blank and \t to \r, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,44 +51,6 @@ def arrow_map(df: DataFrame, compute: Callable[[pa.RecordBatch], dict], fields:
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset (tests), a new one."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, sizes are known, executors can go.
-
-    The files go when the session ends, or with :func:`drop_stash`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tracewell_path = path
-    return out
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Removes the files of a :func:`stash` that nothing reads any more."""
-    if path := getattr(df, "_tracewell_path", None):
-        fs, p = _fs(df.sparkSession, path)
-        fs.delete(p, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

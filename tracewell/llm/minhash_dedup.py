@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import arrow_map, drop_stash, keyed, raw_bytes, stash
-from .components import components
 
 BANDS, ROWS = 26, 5
 SHINGLE = 3
