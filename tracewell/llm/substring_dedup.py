@@ -41,6 +41,7 @@ from .minhash_dedup import word_hashes
 WINDOW, GRAM = 20, 7
 #: Places from which on an anchor's extensions meet by window.
 HOT = 1000
+SALTS = 64
 #: Documents whose seeds or extensions a task holds at once.
 _SLICE = 1024
 _SEGMENT = 1 << 22
@@ -119,7 +120,9 @@ def shared(seeded: DataFrame) -> DataFrame:
     met = seeded.withColumn("route", route).withColumn("n", F.count("*").over(Window.partitionBy("route")))
     met = stash(met.where((F.col("n") > 1) | (F.col("place").bitwiseAND(_SURE) != 0)).select("anchor", "ref", "place"), "shared")
     hot = met.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    return met.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # A hot anchor has many rows: they are salted, and the few anchors repeated for each salt.
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return met.withColumn("salt", F.pmod("ref", F.lit(SALTS))).join(hot, ["anchor", "salt"], "left").drop("salt").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def extended(src: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
