@@ -166,7 +166,8 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # that of the first range is the last
     guests = src.where(F.col("at").isin([first for _, first in firsts])).withColumn("range", F.element_at(F.create_map(*[x for f, r in before.items() for x in (F.lit(f).cast("long"), F.lit(r).cast("int"))]), F.col("at")))
     both = src.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    dealt = both.repartition(n, "range").sortWithinPartitions("range", "guest", "at", F.col("text").asc_nulls_first())
+    # Range i is partition i: dealt by hash, some tasks would get several ranges and some none.
+    dealt = both.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "guest", "at", F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
