@@ -502,10 +502,11 @@ def test_packing(spark, docs, odd, empty):
 
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tk.encode_special_tokens = True
-    for df in (docs.where("doc_id % 4 = 0"), odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+    lost = odd.where("doc_id is null")
+    for df in (docs.where("doc_id % 4 = 0"), odd.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(lost)):
         texts = {r.doc_id: r.text or "" for r in df.collect()}
         want = {d: [*e.ids, 0] for d, e in zip(texts, tk.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
-        got = packing.pack_documents(df, P.path("byte_bpe_50k.json"), P.PATTERN, block=64).collect()
+        got = packing.pack_documents(df, P.path("byte_bpe_50k.json"), P.PATTERN, block=64, part=2048).collect()
         by_doc, by_seq = {}, {}
         for r in got:
             by_doc.setdefault(r.doc_id, []).append(r)
@@ -526,7 +527,11 @@ def test_packing(spark, docs, odd, empty):
             assert at <= 1024
         total = sum(map(len, want.values()))
         assert len(by_seq) * 1024 - total < 1024 * (df.count() // 64 + 2)
-    assert packing.pack_documents(odd, P.path("byte_bpe_50k.json"), P.PATTERN).count() >= odd.count()
+    same = spark.createDataFrame([(1, "a long text " * 900)] * 50 + [(None, None)] * 3, "doc_id long, text string").coalesce(1).withColumn("key", F.lit("clash"))
+    rows = packing.pack_documents(same, P.path("byte_bpe_50k.json"), P.PATTERN, block=4).collect()
+    n = {r.doc_tokens for r in rows if r.doc_id == 1}
+    assert len(n) == 1 and sum(r.length for r in rows) == 50 * n.pop() + 3  # repeated rows are documents of their own
+    assert len({r.sequence_id >> 32 for r in rows}) > 10  # and not one block's
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 

@@ -3,11 +3,13 @@
 The cost of a piece of L tokens is ``linear * L + quadratic * L * L``: attention within a piece is
 quadratic. Pieces are dealt longest first to the sequence of least cost that has room; when none
 has, a piece is cut to fill the roomiest one. Documents longer than a sequence first give off full
-sequences. Work is split into blocks by a hash of the document, of some thousand documents each,
-so that a block fits in a task and its padding is less than one sequence.
+sequences. Work is split into blocks by a hash of the document, of some thousand documents and some
+megabytes each, so that a block fits in a task and its padding is less than one sequence. Very long
+documents are dealt to blocks in parts of ``PART`` tokens, and repeated rows of a batch to one block each.
 
-Defined cases: a null or empty text is the end token alone; rows with equal ids are documents of
-their own; an empty table gives no pieces.
+Defined cases: a null or empty text is the end token alone; rows with equal ids, or without an id, are
+documents of their own; ties in length go by id and place; an empty table gives no pieces; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import base64
 import json
 import math
 import zlib
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -25,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, keyed
+from .common import keyed
 from .pretokens import pieces
 
 CAPACITY = 1024
-#: Documents in a block, on average.
-BLOCK = 4096
+#: Documents and bytes of text in a block, on average; at most one part of a document's tokens comes on top.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
+#: Tokens in a part of a very long document: whole sequences.
+PART = 64 * CAPACITY
 MEMO = 400_000
 
 
@@ -97,17 +102,22 @@ def ranks_of(vocabulary: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
 
 
-def tokenised(df: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, block key, and ids (16 bit, end token included) of each whole text.
+def tokenised(df: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
+    """doc_id, key (what deals to blocks), start, doc_tokens, and ids (16 bit, end token included): a row for each ``part`` tokens of each whole text.
 
     The vocabulary's merges run in the rank order of its ids, which equals the order of its merge
     list; a test holds this against the tokenizers library. A word is merged once per task.
     """
     spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(ranks_of(vocabulary))  # 50,000 entries, of fixed size
+    table = ranks_of(vocabulary)  # 50,000 entries, of fixed size
+    if max(end_id, *table.values()) >= 1 << 16:
+        raise ValueError("ids must fit 16 bits")
+    ranks = spark.sparkContext.broadcast(table)
     end = np.array([end_id], dtype="<u2").tobytes()
+    src = keyed(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    schema = T.StructType([src.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("key", "start", "doc_tokens")], T.StructField("ids", T.BinaryType())])
 
-    def compute(batch: pa.RecordBatch) -> dict:
+    def memo_of() -> _Ids:
         memo = _MEMO.get(0)
         if memo is None or len(memo) > MEMO or getattr(memo, "of", None) != vocabulary:
             import tiktoken
@@ -115,10 +125,22 @@ def tokenised(df: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, cap
             encoding = memo.encoding if memo is not None and memo.of == vocabulary else tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
             memo = _MEMO[0] = _Ids(encoding)
             memo.encoding, memo.of = encoding, vocabulary
-        return {"ids": [b"".join([memo[w] for w in pieces(text or "", pattern)]) + end for text in batch.column("text").to_pylist()]}
+        return memo
 
-    src = keyed(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
-    return arrow_map(src, compute, [T.StructField("ids", T.BinaryType())], keep=("doc_id", "key"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            memo, met, rows = memo_of(), {}, []
+            for d, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                ids = b"".join([memo[w] for w in pieces(text or "", pattern)]) + end
+                for at in range(0, len(ids), 2 * part):
+                    met[key] = n = met.get(key, -1) + 1  # parts and repeated rows go to a block each
+                    rows.append((d, (key + n + 2**63) % 2**64 - 2**63, at // 2, len(ids) // 2, ids[at : at + 2 * part]))
+            if rows:
+                docs, *columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs)).cast(arrow.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return src.mapInArrow(run, schema)
 
 
 PIECES = [
@@ -131,24 +153,26 @@ PIECES = [
 ]
 
 
-def pack_documents(df: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, block: int = BLOCK, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, block: int = BLOCK, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     One shuffle, of the ids at two bytes each.
     """
-    blocks = max(1, math.ceil(df.count() / block))
-    src = tokenised(df, vocabulary, pattern, 0, capacity, id_col, text_col)
+    n_docs, n_bytes = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()
+    blocks = max(1, math.ceil(n_docs / block), math.ceil(n_bytes / BLOCK_BYTES))
+    src = tokenised(df, vocabulary, pattern, 0, id_col, text_col, part)
     id_field = src.schema["doc_id"]
     fields = [id_field, *PIECES] + ([T.StructField("ids", T.BinaryType())] if with_ids else [])
     schema = T.StructType(fields)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         base = key[0].as_py() << 32
-        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])  # the order of arrival decides nothing
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])  # the order of arrival decides nothing
         owner: list[int] = []
         starts: list[int] = []
         lengths: list[int] = []
         docs = [np.frombuffer(x, dtype="<u2") for x in table.column("ids").to_pylist()]
+        first, whole = table.column("start").to_pylist(), table.column("doc_tokens").to_pylist()
         for d, ids in enumerate(docs):
             for at in range(0, len(ids), capacity):
                 owner.append(d)
@@ -158,21 +182,15 @@ def pack_documents(df: DataFrame, vocabulary: str, pattern: str, capacity: int =
         taken = []
         for piece, inner, length, seq, offset in deal(lengths, capacity, linear, quadratic):
             d, at = owner[piece], starts[piece] + inner
-            part = docs[d][at : at + length]
+            cut = docs[d][at : at + length]
             taken.append(d)
-            for name, value in (("start", at), ("length", length), ("ids_crc32", zlib.crc32(part.astype("<u4").tobytes())), ("doc_tokens", len(docs[d])), ("sequence_id", base + seq), ("offset", offset)):
+            for name, value in (("start", first[d] + at), ("length", length), ("ids_crc32", zlib.crc32(cut.astype("<u4").tobytes())), ("doc_tokens", whole[d]), ("sequence_id", base + seq), ("offset", offset)):
                 rows[name].append(value)
             if with_ids:
-                rows["ids"].append(part.tobytes())
+                rows["ids"].append(cut.tobytes())
         arrow = to_arrow_schema(schema)
         ids = table.column("doc_id").take(pa.array(taken, pa.int64())).combine_chunks()
         return pa.Table.from_arrays([ids.cast(arrow.field(0).type)] + [pa.array(rows[f.name], f.type) for f in list(arrow)[1:]], schema=arrow)
 
-    return src.select("doc_id", "ids", F.pmod("key", F.lit(blocks)).alias("block")).groupBy("block").applyInArrow(_without_block(pack), schema)
-
-
-def _without_block(pack):
-    def run(key, table):
-        return pack(key, table.select(["doc_id", "ids"]))
-
-    return run
+    kept = ["doc_id", "start", "doc_tokens", "ids"]
+    return src.select(*kept, F.pmod("key", F.lit(blocks)).alias("block")).groupBy("block").applyInArrow(lambda key, rows: pack(key, rows.select(kept)), schema)
