@@ -326,6 +326,44 @@ def test_html(spark, empty):
         inner = re.search(r"<article>(.*?)(</article>|$)", p.html, re.S)[1]
         blocks = [" ".join(h.unescape(re.sub(r"<(?!/?p|/?h1|br)[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner)]
         assert r.text == " ".join(b for b in blocks if b)
+    source = spark.createDataFrame([(1, "u", PAGE, "clash", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [r.text for r in html_text.extract_main_text(source).collect()] == [want]
+    nothing = html_text.extract_main_text(source.limit(0))
+    assert nothing.columns == ["page_id", "url", "text", "n_chars"] and nothing.count() == 0
+
+
+def plain_page(seed):
+    """A page of divs without telling names or an article element: links, a heading and long paragraphs with short ones, more links."""
+    rng = random.Random(seed)
+    said = lambda n: " ".join(f"{x}{rng.randint(0, 999)}" for x in rng.choices(["word", "in", "sentences", "so"], k=n))
+    links = lambda n: "<div>" + "".join(f"<div><a href=x>{said(1)}</a></div>" for _ in range(n)) + "</div>"
+    blocks = [said(5), *(said(rng.choice([4, 60, 90, 120])) for _ in range(8)), said(100)]
+    blocks[1] = said(110)
+    half = rng.randint(3, 7)
+    body = "".join(f"<p>{b}</p>" for b in blocks[1:half]) + "</div><div>" + "".join(f"<p>{b}</p>" for b in blocks[half:])
+    return f"<html><body>{links(8)}<div>{said(2)}</div><div><div><h1>{blocks[0]}</h1>{body}</div></div>{links(9)}<div>{said(3)}</div></body></html>", " ".join(blocks)
+
+
+def test_html_threshold_selects(monkeypatch):
+    """Without an article element the dense lines decide; ablated, the links come in."""
+    pages = [plain_page(i) for i in range(40)]
+    assert [html_text.main_text(h) for h, _ in pages] == [want for _, want in pages]
+    monkeypatch.setattr(html_text, "dense_lines", lambda lines: [True] * len(lines))
+    assert all(html_text.main_text(h) != want for h, want in pages)
+    sections = "<div><div><p>" + "x y " * 250 + "</p></div><div><p>short last section</p></div></div>"
+    assert html_text.main_text(sections).endswith("x y short last section")
+
+
+def test_html_depth():
+    """100,000 nested elements take seconds."""
+    import time
+
+    began = time.time()
+    for one in ("<div>a", "<b>a", "<span>a</i>", "<li><b>a", "<p><i>"):
+        assert len(html_text.main_text(one * 100_000)) >= 0
+    assert len(html_text.main_text("<b>" * 100_000 + "<p>x</p>" * 100_000)) > 100_000
+    assert len(html_text.main_text("<p>" + "word " * 500_000)) == 2_499_999
+    assert time.time() - began < 60
 
 
 # 7
