@@ -52,6 +52,29 @@ def size_text(size: Column) -> Column:
     )
 
 
+IMAGES = (".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp", ".gif", ".webp", ".heic", ".heif", ".avif")
+VIDEOS = (".mp4", ".mov", ".avi", ".mkv")
+
+
+def item_icon(path: Column) -> Column:
+    """A picture, a clapper board or a page, by extension."""
+    ext = extension(path)
+    return F.when(ext.isin(*IMAGES), "\U0001f5bc").when(ext.isin(*VIDEOS), "\U0001f3ac").otherwise("\U0001f4c4")
+
+
+def backup_label(domain: Column) -> Column:
+    """What a phone backup's domain stands for."""
+    low = F.lower(domain)
+    app = F.when(F.instr(domain, "-") > 0, F.concat(F.lit("iPhone App ("), after_first_dash(domain), F.lit(")"))).otherwise("iPhone App")
+    return F.when(F.startswith(low, F.lit("camerarolldomain")), "iPhone Camera Roll").when(F.startswith(low, F.lit("mediadomain")), "iPhone Media").when(F.startswith(low, F.lit("appdomain")), app).otherwise(F.concat(F.lit("iPhone Backup ("), domain, F.lit(")")))
+
+
+def looked_up(key: Column, table: dict, default: str | None = None) -> Column:
+    """The entry of a fixed table, else the default."""
+    found = F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.coalesce(found, F.lit(default))
+
+
 def confidence_label(score: Column) -> Column:
     """Fixed labels of a 0 to 100 score; below 0 is unknown."""
     return F.when(score < 0, "Unknown").when(score <= 19, "Very low").when(score <= 39, "Low").when(score <= 59, "Moderate").when(score <= 79, "High").otherwise("Very high")

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import micros
 
 #: Names of editing programs (fixed values).
-EDITORS = ("photoshop", "lightroom", "gimp", "affinity", "snapseed", "vsco", "picsart", "facetune", "capture one", "darktable", "rawtherapee", "acdsee", "paint.net", "pixelmator", "luminar", "dxo", "corel", "paintshop", "photoscape", "polarr", "canva", "meitu", "on1", "adobe")
+EDITORS = (
+    "photoshop", "lightroom", "gimp", "snapseed", "facetune", "instagram", "whatsapp", "picsart", "vsco", "afterlight", "fotor", "pixlr", "canva", "lens studio", "retouch", "meitu", "beauty",
+    "adobe camera raw", "capture one", "on1", "darktable", "rawtherapee", "paintshop", "affinity photo",
+)
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 
@@ -60,9 +63,9 @@ def thumbnail_aspect(width: Column, height: Column, thumb_width: Column, thumb_h
 
 
 def file_time(capture: Column, written: Column) -> Column:
-    """A file's own time against the capture: within 24 hours after, later, or before."""
+    """A file's own time against the capture: within 24 hours of it, later, or before."""
     diff = micros(written) - micros(capture)
-    return F.when(diff.isNull(), None).when(diff < 0, finding("ts-fs-precedes-exif", 2, 85, 55)).when(diff <= DAY, finding("ts-fs-consistent", 0, 80)).otherwise(finding("ts-fs-later", 1, 90, 65))
+    return F.when(diff.isNull(), None).when(F.abs(diff) <= DAY, finding("ts-fs-consistent", 0, 80)).when(diff > DAY, finding("ts-fs-later", 1, 90, 65)).otherwise(finding("ts-fs-precedes-exif", 2, 85, 55))
 
 
 def header_time(capture: Column, modified: Column) -> Column:
@@ -133,16 +136,16 @@ def png_integrity(content: Column) -> Column:
 
 
 #: Leading bytes (hex, offset from 1) and the format they mean (fixed values).
-MAGIC = (("FFD8FF", 1, "JPEG"), ("89504E47", 1, "PNG"), ("47494638", 1, "GIF"), ("424D", 1, "BMP"), ("49492A00", 1, "TIFF"), ("4D4D002A", 1, "TIFF"))
+MAGIC = (("FFD8FF", 1, "JPEG"), ("89504E470D0A1A0A", 1, "PNG"), ("474946", 1, "GIF"), ("424D", 1, "BMP"), ("49492A00", 1, "TIFF"), ("4D4D002A", 1, "TIFF"))
 #: Extensions and the format they promise (fixed values).
-EXTENSIONS = {".jpg": "JPEG", ".jpeg": "JPEG", ".png": "PNG", ".gif": "GIF", ".bmp": "BMP", ".tif": "TIFF", ".tiff": "TIFF", ".webp": "WebP", ".heic": "HEIF", ".heif": "HEIF", ".avif": "AVIF"}
+EXTENSIONS = {".jpg": "JPEG", ".jpeg": "JPEG", ".jpe": "JPEG", ".jfif": "JPEG", ".png": "PNG", ".gif": "GIF", ".bmp": "BMP", ".dib": "BMP", ".tif": "TIFF", ".tiff": "TIFF", ".webp": "WebP", ".heic": "HEIF", ".heif": "HEIF", ".avif": "AVIF"}
 
 
 def detect_format(content: Column) -> Column:
     """Format of the first 12 bytes; null for under 4 bytes or none known."""
     out = F.lit(None).cast("string")
     brand = F.decode(F.substring(content, F.lit(9), F.lit(4)), "ISO-8859-1")
-    out = F.when(F.substring(content, F.lit(5), F.lit(4)) == F.lit(b"ftyp"), F.when(brand.isin("heic", "heix", "mif1"), "HEIF").when(brand.isin("avif", "avis"), "AVIF").otherwise("IsoBmff")).otherwise(out)
+    out = F.when((F.octet_length(content) >= 12) & (F.substring(content, F.lit(5), F.lit(4)) == F.lit(b"ftyp")), F.when(brand.isin("heic", "heix", "mif1"), "HEIF").when(brand.isin("avif", "avis"), "AVIF").otherwise("IsoBmff")).otherwise(out)
     out = F.when((F.substring(content, F.lit(1), F.lit(4)) == F.lit(b"RIFF")) & (F.substring(content, F.lit(9), F.lit(4)) == F.lit(b"WEBP")), "WebP").otherwise(out)
     for mark, at, name in reversed(MAGIC):
         out = F.when(F.substring(content, F.lit(at), F.lit(len(mark) // 2)) == F.unhex(F.lit(mark)), name).otherwise(out)
