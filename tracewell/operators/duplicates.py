@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import hamming
 from .graph import components
 
 
 def exact_groups(df: DataFrame, path: str, digest: str) -> DataFrame:
-    """digest (least spelling), n, members (sorted) of each hash that two rows or more share, case aside; null and empty hashes are left out."""
-    usable = df.where(F.col(digest).isNotNull() & (F.col(digest) != ""))
-    return usable.groupBy(F.lower(digest).alias("key")).agg(F.min(digest).alias("digest"), F.count("*").alias("n"), F.sort_array(F.collect_list(path)).alias("members")).where("n >= 2").drop("key")
+    """digest (least spelling), n, first (least member), member: a row for each member of each hash that two rows or more share, case aside.
+
+    Null and empty hashes are left out. A hot hash is never one row: sizes are aggregated partially
+    and joined back to the members.
+    """
+    usable = df.where(F.col(digest).isNotNull() & (F.col(digest) != "")).select(F.lower(digest).alias("key"), F.col(digest).alias("spelled"), F.col(path).alias("member"))
+    sizes = usable.groupBy("key").agg(F.min("spelled").alias("digest"), F.count("*").alias("n"), F.min("member").alias("first")).where("n >= 2")
+    return usable.select("key", "member").join(sizes, "key").select("digest", "n", "first", "member")
 
 
 def exact_sizes(df: DataFrame, digest: str) -> DataFrame:
@@ -32,23 +39,42 @@ def annotate_duplicates(df: DataFrame, digest: str, alias: str = "duplicate_coun
     return joined.withColumn(alias, F.coalesce(F.col("n") - 1, F.lit(0)).cast("long")).drop("__digest", "n")
 
 
-def band_keys(bits: Column, threshold: int, width: int = 64) -> Column:
-    """array of (band, value): two hashes within ``threshold`` bits agree on one of ``threshold + 1`` bands (pigeonhole)."""
-    n = threshold + 1
-    edges = [i * width // n for i in range(n + 1)]
-    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.array(*bands)
+def band_plan(threshold: int, width: int, most: int = 1000) -> tuple[int, int]:
+    """Number of bands m and radius r: two hashes within ``threshold`` bits are at most r = threshold // m bits apart in one of m bands.
+
+    The plan with the fewest candidates expected, of those that probe ``most`` values or fewer for each hash.
+    """
+    plans = []
+    for m in range(1, threshold + 2):
+        bits, r = width // m, threshold // m
+        probes = sum(comb(-(-width // m), i) for i in range(r + 1))
+        if bits > r and m * probes <= most:
+            plans.append((m * probes / 2**bits, m, r))
+    return min(plans)[1:] if plans else (threshold + 1, 0)
+
+
+def band_values(bits: Column, m: int, radius: int, width: int) -> Column:
+    """array of (band, value): each band's value and all values up to ``radius`` bits from it."""
+    edges = [i * width // m for i in range(m + 1)]
+
+    def near(band: int, start: int, size: int) -> Column:
+        masks = [sum(1 << x for x in flips) for r in range(radius + 1) for flips in combinations(range(size), r)]
+        value = F.shiftrightunsigned(bits, start).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        return F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(x).alias("value")))
+
+    return F.flatten(F.array(*[near(i, a, b - a) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]))
 
 
 def near_pairs(df: DataFrame, item: str, bits: str, threshold: int = 10, width: int = 64) -> DataFrame:
     """a, b, distance of all pairs of distinct hashes at most ``threshold`` apart: equal hashes meet once, as (least item) representatives.
 
-    An equi-join on bands stands for the product of all rows. A hash of 0 means none and is left out.
+    An equi-join of wide bands with the near values of each (:func:`band_plan`) stands for the
+    product of all rows. A hash of 0 means none and is left out.
     """
     classes = df.where(F.col(bits).isNotNull() & (F.col(bits) != 0)).groupBy(F.col(bits).alias("bits")).agg(F.min(item).alias("item"))
-    banded = classes.select("item", "bits", F.explode(band_keys(F.col("bits"), threshold, width)).alias("key")).select("item", "bits", "key.band", "key.value")
-    one = banded.select(F.col("item").alias("x"), F.col("bits").alias("bx"), "band", "value")
-    two = banded.select(F.col("item").alias("y"), F.col("bits").alias("by"), "band", "value")
+    m, radius = band_plan(threshold, width)
+    one = classes.select(F.col("item").alias("x"), F.col("bits").alias("bx"), F.explode(band_values(F.col("bits"), m, 0, width)).alias("k")).select("x", "bx", "k.band", "k.value")
+    two = classes.select(F.col("item").alias("y"), F.col("bits").alias("by"), F.explode(band_values(F.col("bits"), m, radius, width)).alias("k")).select("y", "by", "k.band", "k.value")
     found = one.join(two, ["band", "value"]).where((F.col("x") < F.col("y")) & (hamming(F.col("bx"), F.col("by")) <= threshold))
     return found.select(F.col("x").alias("a"), F.col("y").alias("b"), hamming(F.col("bx"), F.col("by")).alias("distance")).distinct()
 
@@ -86,6 +112,9 @@ def related_items(df: DataFrame, selected: DataFrame, item: str, digest: str, bi
         .when((F.col(bits) != 0) & (F.col("__b") != 0) & (distance <= threshold), F.concat(F.lit("Near Duplicate (dHash \u0394"), distance.cast("string"), F.lit(")")))
         .when((F.col(burst) > 0) & (F.col(burst) == F.col("__u")), "Burst Sibling")
     )
+    from .listing import positions
+
     rank = F.when(F.col("relation") == "Exact Duplicate", 0).when(F.startswith("relation", F.lit("Near")), 1).otherwise(2)
     found = df.crossJoin(one).where(F.col(item) != F.col("__i")).withColumn("relation", relation).where(F.col("relation").isNotNull())
-    return found.select(F.col(item).alias("item"), "relation", F.row_number().over(Window.orderBy(rank, F.lower(F.col(name).cast("string")), F.col(item))).alias("position"))
+    found = found.select(F.col(item).alias("item"), "relation", rank.alias("rank"), F.lower(F.col(name).cast("string")).alias("by_name"))
+    return positions(found, [F.col(c).asc() for c in ("rank", "by_name", "item")]).select("item", "relation", "position")

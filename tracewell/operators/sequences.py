@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import micros, stem
+from ..storage import stash
+from .listing import positions
 
 SESSION_GAP_SECONDS = 30 * 60
 BURST_GAP_SECONDS = 5
@@ -60,11 +62,12 @@ def _global_ids(df: DataFrame, item: str, time: str, session_gap: float, burst_g
     return joined.withColumn("session_id", F.col("__s") + F.col("__os")).withColumn("burst_id", F.col("__b") + F.col("__ob")).select(*df.columns, "session_id", "burst_id")
 
 
-def storyboard(clustered: DataFrame, name: str, time: str, session: str = "session_id") -> DataFrame:
-    """Members of sessions of two or more with their position, by time text and name."""
-    sizes = clustered.where(F.col(session) > 0).groupBy(session).agg(F.count("*").alias("members")).where("members >= 2")
-    w = Window.partitionBy(session).orderBy(F.col(time).cast("string"), F.col(name))
-    return clustered.join(sizes, session).withColumn("position", F.row_number().over(w))
+def storyboard(clustered: DataFrame, name: str, time: str, session: list[str] | str = "session_id") -> DataFrame:
+    """Members of sessions (the last of the columns; 0 is none) of two or more with their position, by time text and name."""
+    keys = [session] if isinstance(session, str) else session
+    sizes = clustered.where(F.col(keys[-1]) > 0).groupBy(*keys).agg(F.count("*").alias("members")).where("members >= 2")
+    w = Window.partitionBy(*keys).orderBy(F.col(time).cast("string"), F.col(name))
+    return clustered.join(sizes, keys).withColumn("position", F.row_number().over(w))
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -82,15 +85,47 @@ def sequence_gaps(df: DataFrame, item: str, keys: list[str], number: str, least:
     return following.where(missing >= least).select(*keys, F.col(number).alias("number_before"), "number_after", F.col(item).alias("item_before"), "item_after", F.least(missing, F.lit(cap)).cast("long").alias("missing"))
 
 
+def global_gaps(df: DataFrame, number: str, least: int = 2, cap: int = MISSING_CAP) -> DataFrame:
+    """number_before, number_after, missing over all numbers: windows inside ranges of numbers, which are then tied end to end, a row for each."""
+    distinct = df.select(F.col(number).cast("long").alias("number")).where("number is not null").distinct()
+    placed = stash(distinct.repartitionByRange("number").withColumn("part", F.spark_partition_id()), "numbers")
+    inner = placed.withColumn("number_after", F.lead("number").over(Window.partitionBy("part").orderBy("number")))
+    edges = placed.groupBy("part").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    ties = edges.select(F.col("last").alias("number"), F.lead("first").over(Window.orderBy("part")).alias("number_after"))  # one row for each range
+    both = inner.select("number", "number_after").where("number_after is not null").unionByName(ties.where("number_after is not null"))
+    missing = F.col("number_after") - F.col("number") - 1
+    return both.where(missing >= least).select(F.col("number").alias("number_before"), "number_after", F.least(missing, F.lit(cap)).cast("long").alias("missing"))
+
+
 def name_gaps(df: DataFrame, item: str, name: str, least: int = 2, cap: int = MISSING_CAP) -> DataFrame:
     """Gaps in camera-style names; numbers of another prefix or digit width are a sequence of their own."""
     return sequence_gaps(numbered(df, name), item, ["prefix", "width"], "number", least, cap)
 
 
+def quartiles(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """keys, n, q1, q3 by linear interpolation at p (n - 1): values at their places in a range-partitioned order, so a group of any size is spread over tasks."""
+    v = F.col(value).cast("double")
+    placed = positions(df.where(v.isNotNull()).select(*keys, v.alias("value_of")), [*[F.col(k).asc() for k in keys], F.col("value_of").asc()])
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("position").alias("from_position"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    both = placed.alias("p").join(F.broadcast(sizes).alias("s") if not keys else sizes.alias("s"), same if keys else F.lit(True))
+    rank, out = F.col("position") - F.col("from_position"), []
+    for p, name in ((0.25, "q1"), (0.75, "q3")):
+        at = F.lit(p) * (F.col("n") - 1)
+        low, high = (F.max(F.when(rank == edge, F.col("value_of"))) for edge in (F.floor(at), F.ceil(at)))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    wanted = rank.isin([0]) | F.lit(False)
+    for p in (0.25, 0.75):
+        at = F.lit(p) * (F.col("n") - 1)
+        wanted = wanted | (rank == F.floor(at)) | (rank == F.ceil(at))
+    return both.where(wanted).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("n")).agg(*out)
+
+
 def tukey_outliers(df: DataFrame, item: str, value: str, keys: list[str], floor: float = 0.0, least: int = 4, factor: float = 1.5) -> DataFrame:
     """Rows beyond the quartiles by more than max(factor * IQR, floor), in groups of ``least`` values or more, with their distance."""
     v = F.col(value).cast("double")
-    stats = df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3")).where(F.col("n") >= least)
+    stats = quartiles(df, value, keys).where(F.col("n") >= least)
     reach = F.greatest(F.lit(factor) * (F.col("q3") - F.col("q1")), F.lit(float(floor)))
     distance = F.when(v < F.col("q1") - reach, F.col("q1") - v).when(v > F.col("q3") + reach, v - F.col("q3"))
     joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))

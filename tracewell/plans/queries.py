@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import duplicates, evidence, rules, sequences
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from ..operators import duplicates, evidence, listing, rules, sequences
+from .registry import query, table
 
 
 def hashed(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("SELECT digest, n, members FROM (SELECT sha256(text) AS digest, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1) WHERE n >= 2")
+@query("SELECT digest, n, first, doc_id AS member FROM (SELECT doc_id, sha256(text) AS digest, count(*) OVER w AS n, min(doc_id) OVER w AS first FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text))) WHERE n >= 2")
 def exact_dup_groups(spark, d):
-    return duplicates.exact_groups(hashed(spark, d), "doc_id", "hash").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return duplicates.exact_groups(hashed(spark, d), "doc_id", "hash")
 
 
 @query("SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) - 1 AS duplicate_count FROM documents WHERE text IS NOT NULL")
@@ -56,9 +37,10 @@ _BITS_SQL = "SELECT vec_id, CAST(list_sum(list_transform(range(63), lambda i: CA
 _PAIRS_SQL = f"WITH h AS (SELECT bits, min(vec_id) AS vec_id FROM ({_BITS_SQL}) WHERE bits <> 0 GROUP BY bits) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.bits, y.bits)) <= 16"
 
 
-@query(_BITS_SQL)
+@query("SELECT vec_id, CAST(list_sum(list_transform(range(56), lambda i: CASE WHEN embedding[i // 8 * 9 + i % 8 + 1] < embedding[i // 8 * 9 + i % 8 + 2] THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) AS bits FROM embeddings")
 def dhash_bits(spark, d):
-    return vector_bits(spark, d)
+    """The difference hash of 7 rows of 9 grey values."""
+    return table(spark, d, "embeddings").select("vec_id", S.dhash(F.col("embedding"), 9, 7).alias("bits"))
 
 
 @query(_PAIRS_SQL)
@@ -66,16 +48,19 @@ def near_dup_pairs(spark, d):
     return duplicates.near_pairs(vector_bits(spark, d), "vec_id", "bits", 16, 63)
 
 
-@query(
+_GROUPS_SQL = (
     f"WITH RECURSIVE p AS ({_PAIRS_SQL}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT DISTINCT a AS item, a AS low FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.item), "
     f"reps AS (SELECT item, min(low) AS g FROM r GROUP BY item), h AS ({_BITS_SQL}), c AS (SELECT bits, min(vec_id) AS rep FROM h WHERE bits <> 0 GROUP BY bits), placed AS (SELECT h.vec_id AS item, coalesce(reps.g, c.rep) AS group_id FROM h JOIN c USING (bits) LEFT JOIN reps ON reps.item = c.rep) "
     "SELECT item, group_id FROM placed WHERE group_id IN (SELECT group_id FROM placed GROUP BY 1 HAVING count(*) >= 2)"
 )
+
+
+@query(_GROUPS_SQL)
 def near_dup_groups(spark, d):
     return duplicates.near_groups(vector_bits(spark, d), "vec_id", "bits", 16, 63)
 
 
-@query()
+@query(f"WITH g AS ({_GROUPS_SQL}), h AS ({_BITS_SQL}), j AS (SELECT group_id, bits FROM g JOIN h ON item = vec_id), n AS (SELECT group_id, count(*) AS n FROM j GROUP BY 1) SELECT group_id, n, max(CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER)) AS max_distance FROM n JOIN j x USING (group_id) JOIN j y USING (group_id) GROUP BY 1, 2")
 def near_dup_diameters(spark, d):
     bits = vector_bits(spark, d)
     return duplicates.group_diameters(duplicates.near_groups(bits, "vec_id", "bits", 16, 63), bits, "vec_id", "bits")
@@ -86,16 +71,19 @@ def sequence_gaps(spark, d):
     return sequences.sequence_gaps(table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_partkey").alias("item")), "item", ["p_brand"], "p_partkey")
 
 
-@query("WITH n AS (SELECT c_name, regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS prefix, length(regexp_extract(c_name, '(\\d+)$', 1)) AS width, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS INTEGER) AS num FROM customer WHERE c_custkey % 7 NOT IN (2, 3)), g AS (SELECT *, lead(num) OVER (PARTITION BY prefix, width ORDER BY num, c_name) AS nxt, lead(c_name) OVER (PARTITION BY prefix, width ORDER BY num, c_name) AS after FROM n) SELECT prefix, CAST(width AS INTEGER) AS width, num AS number_before, nxt AS number_after, c_name AS item_before, after AS item_after, CAST(least(nxt - num - 1, 99) AS BIGINT) AS missing FROM g WHERE nxt - num - 1 >= 2")
+SQL_GAPS = "WITH n AS (SELECT c_name, regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS prefix, length(regexp_extract(c_name, '(\\d+)$', 1)) AS width, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS INTEGER) AS num FROM customer WHERE c_mktsegment = 'BUILDING'), g AS (SELECT *, lead(num) OVER (PARTITION BY prefix, width ORDER BY num, c_name) AS nxt, lead(c_name) OVER (PARTITION BY prefix, width ORDER BY num, c_name) AS after FROM n) SELECT prefix, CAST(width AS INTEGER) AS width, num AS number_before, nxt AS number_after, c_name AS item_before, after AS item_after, CAST(least(nxt - num - 1, 99) AS BIGINT) AS missing FROM g WHERE nxt - num - 1 >= 2"
+
+
+@query(SQL_GAPS)
 def sequence_gaps_name(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 7 not in (2, 3)").select(F.col("c_name").alias("item"), "c_name")
+    """Of one market segment, whose names leave gaps."""
+    c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("item"), "c_name")
     return sequences.name_gaps(c, "item", "c_name")
 
 
 @query("SELECT l_orderkey AS number_before, nxt AS number_after, least(nxt - l_orderkey - 1, 99) AS missing FROM (SELECT l_orderkey, lead(l_orderkey) OVER (ORDER BY l_orderkey) AS nxt FROM (SELECT DISTINCT l_orderkey FROM lineitem)) WHERE nxt - l_orderkey - 1 >= 2")
 def order_gaps(spark, d):
-    keys = table(spark, d, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.col("l_orderkey").alias("item"), F.lit(0).alias("all"))
-    return sequences.sequence_gaps(keys, "item", ["all"], "l_orderkey").select("number_before", "number_after", "missing")
+    return sequences.global_gaps(table(spark, d, "lineitem"), "l_orderkey")
 
 
 def _clusters(part: str) -> str:
@@ -116,10 +104,7 @@ def burst_session_user(spark, d):
 @query(f"WITH s AS ({_clusters('PARTITION BY user_id')}), j AS (SELECT s.user_id, s.session_id, s.event_id, e.ts, count(*) OVER (PARTITION BY s.user_id, s.session_id) AS members FROM s JOIN events e USING (event_id)) SELECT user_id, CAST(session_id AS BIGINT) AS session_id, event_id, members, CAST(row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) AS INTEGER) AS position FROM j WHERE members >= 2")
 def session_storyboard(spark, d):
     c = sequences.burst_sessions(table(spark, d, "events").select("event_id", "user_id", "ts"), "event_id", "ts", ["user_id"]).where("session_id > 0")
-    sizes = c.groupBy("user_id", "session_id").agg(F.count("*").alias("members")).where("members >= 2")
-    from pyspark.sql.window import Window
-
-    return c.join(sizes, ["user_id", "session_id"]).select("user_id", "session_id", "event_id", "members", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("ts", "event_id")).alias("position"))
+    return sequences.storyboard(c, "event_id", "ts", ["user_id", "session_id"]).select("user_id", "session_id", "event_id", "members", "position")
 
 
 @query(f"WITH s AS ({_clusters('PARTITION BY user_id')}) SELECT s.user_id, count(*) AS n, min(epoch_us(e.ts)) AS first_us, max(epoch_us(e.ts)) + 1800000000 AS end_us FROM s JOIN events e USING (event_id) GROUP BY s.user_id, s.session_id")
@@ -145,7 +130,10 @@ def majority_outliers(spark, d):
     return sequences.majority_outliers(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id", "lang", ["source"], 0.6)
 
 
-@query(f"{_TUKEY}, a AS (SELECT item, 0 AS r, 'value' AS reason FROM x WHERE distance IS NOT NULL UNION ALL SELECT event_id, 1, 'type' FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT item, string_agg(reason, '; ' ORDER BY r) AS reasons FROM a GROUP BY item")
+SQL_REASONS = f"{_TUKEY}, a AS (SELECT item, 0 AS r, 'value' AS reason FROM x WHERE distance IS NOT NULL UNION ALL SELECT event_id, 1, 'type' FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT item, string_agg(reason, '; ' ORDER BY r) AS reasons FROM a GROUP BY item"
+
+
+@query(SQL_REASONS)
 def outlier_reasons(spark, d):
     e = table(spark, d, "events")
     least = e.agg(F.min("event_type").alias("t"))
@@ -172,14 +160,15 @@ def reconcile_status(spark, d):
     return _reconciled(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-_CACHES = "live AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 0), t1 AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), t2 AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0), t3 AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 < 2)"
+_CACHES = "live AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'), t1 AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'), t2 AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 3000), t3 AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 10)"
+_GHOSTS = f"WITH {_CACHES} SELECT k AS key, 'thumbs' AS source FROM t1 WHERE k NOT IN (SELECT k FROM live) UNION ALL SELECT k, 'cache' FROM t2 WHERE k NOT IN (SELECT k FROM live) AND k NOT IN (SELECT k FROM t1) UNION ALL SELECT k, 'zb' FROM t3 WHERE k NOT IN (SELECT k FROM live) AND k NOT IN (SELECT k FROM t1) AND k NOT IN (SELECT k FROM t2)"
 
 
-@query(f"WITH {_CACHES} SELECT k AS key, 'thumbs' AS source FROM t1 WHERE k NOT IN (SELECT k FROM live) UNION ALL SELECT k, 'cache' FROM t2 WHERE k NOT IN (SELECT k FROM live) AND k NOT IN (SELECT k FROM t1) UNION ALL SELECT k, 'zb' FROM t3 WHERE k NOT IN (SELECT k FROM live) AND k NOT IN (SELECT k FROM t1) AND k NOT IN (SELECT k FROM t2)")
+@query(_GHOSTS)
 def ghost_overlay(spark, d):
-    c = table(spark, d, "customer").select("c_custkey")
-    live = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select("o_custkey").distinct()
-    sources = [("thumbs", c.where("c_custkey % 2 = 0"), True), ("cache", c.where("c_custkey % 3 = 0"), True), ("zb", c.where("c_custkey % 5 < 2"), True)]
+    c = table(spark, d, "customer")
+    live = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    sources = [("thumbs", c.where("c_mktsegment = 'BUILDING'"), True), ("cache", c.where("c_acctbal < 3000"), True), ("zb", c.where("c_nationkey < 10"), True)]
     return evidence.ghosts(sources, live, "o_custkey", "c_custkey")
 
 
@@ -194,24 +183,34 @@ def enrich_left_first(spark, d):
     return evidence.enrich(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select("l_orderkey", *order), "o_orderkey", "l_orderkey", order)
 
 
-@query("SELECT c_custkey AS name, 'orders' AS app FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT c_custkey, 'events' FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
+SQL_CORRELATED = "SELECT c_custkey AS name, 'orders' AS app FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT c_custkey, 'events' FROM customer WHERE c_custkey IN (SELECT user_id FROM events)"
+
+
+@query(SQL_CORRELATED)
 def correlation_semi(spark, d):
     return evidence.correlate(table(spark, d, "customer"), "c_custkey", [("orders", table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_custkey"), ("events", table(spark, d, "events"), "user_id")])
 
 
-WORDS = (("type", 0, "brass", "material.brass", 3), ("type", 1, "steel", "material.steel", 2), ("type", 2, "tin", "material.tin", 1), ("size", 0, "large", "size.large", 3), ("size", 1, "small", "size.small", 2), ("finish", 0, "polished", "material.polished", 2), ("finish", 1, "plated", "material.plated", 3))
+_SOFTWARE = "SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'Instagram 300' WHEN 'BUILDING' THEN 'Adobe Photoshop Lightroom' WHEN 'FURNITURE' THEN 'WhatsApp' WHEN 'AUTOMOBILE' THEN 'Camera 1.0' ELSE '' END || CASE WHEN c_nationkey < 5 THEN ' Snapseed' WHEN c_nationkey < 10 THEN ' darktable 4' ELSE '' END AS software FROM customer"
+
+
+def _software(spark, d):
+    """What wrote an image, as its market segment and nation stand for."""
+    written = F.coalesce(*[F.when(F.col("c_mktsegment") == k, v) for k, v in (("MACHINERY", "Instagram 300"), ("BUILDING", "Adobe Photoshop Lightroom"), ("FURNITURE", "WhatsApp"), ("AUTOMOBILE", "Camera 1.0"))], F.lit(""))
+    edited = F.when(F.col("c_nationkey") < 5, " Snapseed").when(F.col("c_nationkey") < 10, " darktable 4").otherwise("")
+    return table(spark, d, "customer").select("c_custkey", F.concat(written, edited).alias("software"))
 
 
 def _chain(family: str) -> str:
-    rows = [w for w in WORDS if w[0] == family]
-    return f"SELECT p_partkey AS item, '{family}' AS family, CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{p}'" for _, _, k, p, _ in rows) + " END AS profile_id, CASE " + " ".join(f"WHEN contains(t, '{k}') THEN {s}" for _, _, k, _, s in rows) + " END AS strength FROM (SELECT p_partkey, lower(p_type || ' ' || p_name) AS t FROM part)"
+    found = [p for p in evidence.PROFILES if p[0] == family]
+    return f"SELECT c_custkey AS item, '{family}' AS family, CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{p}'" for _, _, k, p, _ in found) + " END AS profile_id, 3 AS strength FROM (SELECT c_custkey, lower(software) AS t FROM (" + _SOFTWARE + "))"
 
 
-_MATCHES = "SELECT * FROM (" + " UNION ALL ".join(map(_chain, ("type", "size", "finish"))) + ") WHERE profile_id IS NOT NULL"
+_MATCHES = "SELECT * FROM (" + " UNION ALL ".join(map(_chain, ("social", "editing"))) + ") WHERE profile_id IS NOT NULL"
 
 
 def _matches(spark, d):
-    return evidence.keyword_matches(table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("t")), "p_partkey", "t", WORDS)
+    return evidence.keyword_matches(_software(spark, d), "c_custkey", "software")
 
 
 @query(_MATCHES)
@@ -219,6 +218,11 @@ def signature_matches(spark, d):
     return _matches(spark, d)
 
 
+@query(f"SELECT c_custkey AS item, CASE WHEN regexp_matches(lower(software), 'photoshop|instagram|whatsapp|snapseed|darktable') THEN 'software-editing-tool' ELSE 'software-field-present' END AS id, CASE WHEN regexp_matches(lower(software), 'photoshop|instagram|whatsapp|snapseed|darktable') THEN 2 ELSE 0 END AS priority, CASE WHEN regexp_matches(lower(software), 'photoshop|instagram|whatsapp|snapseed|darktable') THEN 95 ELSE 99 END AS observed, CASE WHEN regexp_matches(lower(software), 'photoshop|instagram|whatsapp|snapseed|darktable') THEN 75 ELSE -1 END AS interpreted FROM ({_SOFTWARE}) WHERE trim(software) <> ''")
+def software_findings(spark, d):
+    return rules.findings(_software(spark, d), "c_custkey", rules.software(F.col("software")))
+
+
 @query(f"SELECT item, split_part(profile_id, '.', 1) AS category, count(*) AS n, string_agg(DISTINCT profile_id, ', ' ORDER BY profile_id) AS profiles FROM ({_MATCHES}) WHERE strength >= 2 GROUP BY 1, 2 HAVING count(*) > 1")
 def signature_conflicts(spark, d):
     return evidence.signature_conflicts(_matches(spark, d))
@@ -263,7 +267,7 @@ def _f(i, p, o, n=-1):
 _TIMES = "(SELECT o_orderkey, l_linenumber, min(epoch_us(l_shipdate)) AS s, min(epoch_us(o_orderdate)) AS o FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 
 
-@query(_rule_sql(_TIMES, "o_orderkey * 10 + l_linenumber", [f"CASE WHEN s < o THEN {_f('ts-fs-precedes-exif', 2, 85, 55)} WHEN s - o <= 86400000000 THEN {_f('ts-fs-consistent', 0, 80)} ELSE {_f('ts-fs-later', 1, 90, 65)} END", f"CASE WHEN abs(s - o) <= 120000000 THEN {_f('ts-ifd0-consistent', 0, 95)} ELSE {_f('ts-ifd0-differs', 2, 95, 80)} END", f"CASE WHEN abs(s - o) > 120000000 THEN {_f('ts-digitized-differs', 1, 95, 60)} END"]))
+@query(_rule_sql(_TIMES, "o_orderkey * 10 + l_linenumber", [f"CASE WHEN abs(s - o) <= 86400000000 THEN {_f('ts-fs-consistent', 0, 80)} WHEN s > o THEN {_f('ts-fs-later', 1, 90, 65)} ELSE {_f('ts-fs-precedes-exif', 2, 85, 55)} END", f"CASE WHEN abs(s - o) <= 120000000 THEN {_f('ts-ifd0-consistent', 0, 95)} ELSE {_f('ts-ifd0-differs', 2, 95, 80)} END", f"CASE WHEN abs(s - o) > 120000000 THEN {_f('ts-digitized-differs', 1, 95, 60)} END"]))
 def timestamp_consistency(spark, d):
     o, li = table(spark, d, "orders").select("o_orderkey", "o_orderdate"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     x = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("s")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("item", F.col("o_orderkey") * 10 + F.col("l_linenumber"))
@@ -302,14 +306,14 @@ def confidence_labels(spark, d):
     return table(spark, d, "events").where("value is not null").select("event_id", S.confidence_label(F.floor("value").cast("int") - 5).alias("label"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00001')")
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'r#00000001')")
 def search_filter(spark, d):
-    return table(spark, d, "customer").where(S.contains_ignore_case(F.col("c_name"), F.lit("00001"))).select("c_custkey", "c_name")
+    return listing.search(table(spark, d, "customer"), "c_name", "R#00000001").select("c_custkey", "c_name")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars IS NULL THEN '' WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 10 / 1048576.0 + 0.5) / 10) END AS size FROM documents")
 def size_text(spark, d):
-    return table(spark, d, "documents").where("n_chars < 1048576").select("doc_id", S.size_text(F.col("n_chars")).alias("size"))
+    return table(spark, d, "documents").select("doc_id", S.size_text(F.col("n_chars")).alias("size"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -326,9 +330,16 @@ def grid_sort(spark, d):
     return positions(c, [F.col("sort_order").asc(), F.col("c_acctbal").desc(), F.col("c_custkey").asc()]).select("c_custkey", "position")
 
 
-@query("WITH s AS (SELECT doc_id, text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1))) SELECT d.doc_id AS item, 'Exact Duplicate' AS relation, CAST(row_number() OVER (ORDER BY CAST(d.doc_id AS VARCHAR), d.doc_id) AS INTEGER) AS position FROM documents d, s WHERE d.text = s.text AND d.doc_id <> s.doc_id")
+_RELATED = f"SELECT h.vec_id, h.bits, CAST(round_even(CAST(e.embedding[1] AS DOUBLE) * 20, 0) AS INTEGER) AS digest, e.label AS burst FROM ({_BITS_SQL}) h JOIN embeddings e ON h.vec_id = e.vec_id"
+
+
+@query(
+    f"WITH x AS ({_RELATED}), s AS (SELECT * FROM x WHERE burst > 0 ORDER BY vec_id LIMIT 1), r AS (SELECT x.vec_id AS item, CASE WHEN x.digest = s.digest THEN 'Exact Duplicate' WHEN x.bits <> 0 AND s.bits <> 0 AND bit_count(xor(x.bits, s.bits)) <= 24 THEN 'Near Duplicate (dHash Δ' || CAST(bit_count(xor(x.bits, s.bits)) AS INTEGER) || ')' WHEN x.burst = s.burst THEN 'Burst Sibling' END AS relation FROM x, s WHERE x.vec_id <> s.vec_id) "
+    "SELECT item, relation, row_number() OVER (ORDER BY CASE WHEN relation = 'Exact Duplicate' THEN 0 WHEN starts_with(relation, 'Near') THEN 1 ELSE 2 END, CAST(item AS VARCHAR), item) AS position FROM r WHERE relation IS NOT NULL"
+)
 def related_items(spark, d):
-    docs = hashed(spark, d).withColumn("bits", F.lit(0).cast("long")).withColumn("burst", F.lit(0))
-    doubled = duplicates.exact_sizes(docs, "hash").select(F.col("digest").alias("__h"))
-    first = docs.join(doubled, F.lower("hash") == F.col("__h"), "left_semi").orderBy("doc_id").limit(1)
-    return duplicates.related_items(docs, first, "doc_id", "hash", "bits", "burst", "doc_id")
+    """What relates to the first vector of a labelled burst: the same rounded first component, a near hash, the same label."""
+    e = table(spark, d, "embeddings").select("vec_id", F.bround(F.get("embedding", F.lit(0)).cast("double") * 20).cast("int").cast("string").alias("digest"), F.col("label").alias("burst"))
+    x = e.join(vector_bits(spark, d), "vec_id")
+    first = x.where("burst > 0").orderBy("vec_id").limit(1)
+    return duplicates.related_items(x, first, "vec_id", "digest", "bits", "burst", "vec_id", 24)
