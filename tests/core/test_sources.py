@@ -155,6 +155,104 @@ def test_ntfs_recovery():
     assert disks.ntfs_data(volume, mft(bytes(head) + listed.ljust(8, b"\0")), 512) is None
 
 
+def ntfs_record(name, size, flags):
+    head = struct.pack("<IIBBHHHIHH", 0x30, 24 + 66 + 2 * len(name) + (-2 * len(name) - 66) % 8, 0, 0, 0, 0, 0, 66 + 2 * len(name), 24, 0)
+    body = bytearray(66) + name.encode("utf-16-le")
+    body[64], body[65] = len(name), 1
+    named = (head + bytes(body)).ljust(24 + 66 + 2 * len(name) + (-2 * len(name) - 66) % 8, b"\0")
+    data = struct.pack("<IIBBHHHIHH", 0x80, 24 + size, 0, 0, 0, 0, 0, size, 24, 0) + b"x" * size
+    r = bytearray(mft(named + data))
+    struct.pack_into("<H", r, 0x16, flags)
+    return bytes(r)
+
+
+def test_ntfs_files():
+    volume = bytearray(1024)
+    volume[3:11] = b"NTFS    "
+    struct.pack_into("<HB", volume, 11, 512, 2)
+    struct.pack_into("<Q", volume, 48, 1)
+    records = [bytes(1024), ntfs_record("a.jpg", 8, 1), ntfs_record("b.png", 16, 0), ntfs_record("A.JPG", 8, 0), ntfs_record("dir", 8, 3), ntfs_record("$x.jpg", 8, 1), ntfs_record("n.txt", 8, 1)]
+    image = bytes(volume) + b"".join(records)
+    assert list(disks.ntfs_files(image)) == [("a.jpg", 8, False, 1), ("b.png", 16, True, 2), ("A.JPG", 8, True, 3), ("n.txt", 8, False, 6)]
+    assert disks.media_files(image) == [(0, "NTFS", "a.jpg", 8, False, 1), (0, "NTFS", "b.png", 16, True, 2)]  # a deleted name that is live is left out
+
+
+def test_fat_directory_that_names_itself():
+    image = bytearray(fat12())
+    root, data = 19 * 512, 33 * 512
+    image[root + 96 : root + 107] = b"LOOP       "
+    image[root + 107] = 0x10
+    struct.pack_into("<H", image, root + 96 + 26, 6)
+    for i in range(2):  # twice itself
+        at = data + 4 * 512 + 32 * i
+        image[at : at + 11] = b"AGAIN%d     " % i
+        image[at + 11] = 0x10
+        struct.pack_into("<H", image, at + 26, 6)
+    image[root + 128 : root + 139] = b"\xe5MPTY   JPG"
+    assert [f[2] for f in disks.media_files(bytes(image))] == ["PHOTO.JPG", "_LD.PNG"]
+
+
+def cfb(streams):
+    """A compound file of 512-byte sectors whose streams are all large (4,096 bytes or more)."""
+    bodies = [d.ljust(max(4096, -(-len(d) // 512) * 512), b"\0") for _, d in streams]
+    fat, chains, at = [0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE], [], 3  # sector 0 the table, 1 and 2 the directory
+    fat[1] = 2
+    for body in bodies:
+        n = len(body) // 512
+        chains.append(at)
+        fat += [at + i + 1 for i in range(n - 1)] + [0xFFFFFFFE]
+        at += n
+    head = bytearray(512)
+    head[:8] = bytes.fromhex("D0CF11E0A1B11AE1")
+    struct.pack_into("<HHHHH", head, 24, 0x3E, 3, 0xFFFE, 9, 6)
+    struct.pack_into("<IIIIIIIII", head, 44, 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, 0)
+    struct.pack_into("<108I", head, 76, 0, *[0xFFFFFFFF] * 107)
+    entries = b""
+    for i, (name, kind, start, size) in enumerate([("Root Entry", 5, 0xFFFFFFFE, 0)] + [(n, 2, c, len(b)) for (n, _), c, b in zip(streams, chains, bodies)]):
+        raw = name.encode("utf-16-le")
+        e = bytearray(128)
+        e[: len(raw)] = raw
+        struct.pack_into("<HBB", e, 64, len(raw) + 2, kind, 1)
+        struct.pack_into("<III", e, 68, 0xFFFFFFFF, i + 1 if 0 < i < len(streams) else 0xFFFFFFFF, 1 if not i else 0xFFFFFFFF)
+        struct.pack_into("<IQ", e, 116, start, size)
+        entries += bytes(e)
+    table = struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
+    return bytes(head) + table + entries.ljust(1024, b"\0") + b"".join(bodies)
+
+
+def test_thumbs_db():
+    def entry(number, name):
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return struct.pack("<iiq", 16 + len(raw), number, 132_000_000_000_000_000) + raw
+
+    catalog = struct.pack("<HHIii", 16, 5, 2, 96, 96) + entry(1, "a.jpg") + entry(12, "b.jpg")
+    data = cfb([("Catalog", catalog), ("1", bytes(12) + JPEG), ("21", b"z" * 16 + JPEG), ("3", b"no image")])
+    got = containers.thumbs_db(data)
+    assert [(r[0], r[1], r[3], r[4], r[5], r[6]) for r in got] == [("1", "a.jpg", 96, 96, 5, 12), ("21", "b.jpg", 96, 96, 5, 16)]
+    assert containers.thumbs_db_payload(data, "21").startswith(JPEG) and containers.thumbs_db_payload(data, "3") is None
+    assert containers.thumbs_db(b"junk") == []
+
+
+def app1(body):
+    return b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+
+
+def test_xmp_and_summary(spark):
+    packet = b'''<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:GDepth="http://ns.google.com/photos/1.0/depthmap/" xmp:CreatorTool="Tool 1" GDepth:Format="RangeInverse">
+<xmp:CreateDate>2024-05-06T07:08:09Z</xmp:CreateDate><dc:creator><rdf:Seq><rdf:li>A</rdf:li><rdf:li>B</rdf:li></rdf:Seq></dc:creator></rdf:Description></rdf:RDF></x:xmpmeta>'''
+    longer = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:GDepth="http://ns.google.com/photos/1.0/depthmap/" GDepth:Data="QUJD"/></rdf:RDF></x:xmpmeta>'
+    extension = b"http://ns.adobe.com/xmp/extension/\0" + b"0" * 32 + struct.pack(">I", len(longer))
+    parts = [app1(extension + struct.pack(">I", at) + longer[at : at + 100]) for at in range(0, len(longer), 100)]
+    frame = bytes.fromhex("FFC0000B08001E0028010111000000")[:13]
+    data = b"\xff\xd8" + app1(b"Exif\0\0" + tiff()) + app1(b"http://ns.adobe.com/xap/1.0/\0" + packet) + b"".join(reversed(parts)) + frame + bytes.fromhex("FFDA0003011122FFD9")
+    got = containers.xmp(data)
+    assert {(p, d): v for p, d, v in got} == {("xmp:CreatorTool", "XMP Core"): "Tool 1", ("GDepth:Format", "XMP GDepth"): "RangeInverse", ("xmp:CreateDate", "XMP Core"): "2024-05-06T07:08:09Z", ("dc:creator[1]", "XMP Dublin Core"): "A", ("dc:creator[2]", "XMP Dublin Core"): "B", ("GDepth:Data", "XMP GDepth"): "QUJD"}
+    assert dict(containers.metadata_summary(data)) == {"make": "Canon", "width": "40", "height": "30", "xmp_tool": "Tool 1", "xmp_created": "2024-05-06T07:08:09Z", "depth_format": "RangeInverse"}
+    assert containers.xmp(b"\xff\xd8" + app1(b"http://ns.adobe.com/xap/1.0/\0<broken")) == []
+    df = spark.createDataFrame([("a.jpg", bytearray(data)), ("none", None)], "path string, content binary")
+    assert {r.name: r.value for r in frames.parse(df, "metadata_summary").collect()}["xmp_tool"] == "Tool 1"
+
+
 def test_frames(spark, tmp_path):
     con = sqlite3.connect(tmp_path / "m.db")
     con.execute("CREATE TABLE Files(fileID TEXT PRIMARY KEY, domain TEXT, relativePath TEXT, flags INTEGER, file BLOB)")

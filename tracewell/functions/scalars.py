@@ -135,6 +135,23 @@ def dhash(pixels: Column, width: int = 9, height: int = 8) -> Column:
     return F.when(F.size(pixels) >= width * height, out)
 
 
+def mean_difference(one: Column, two: Column) -> Column:
+    """Mean absolute difference of two pixel arrays over the shorter one's length; null without pixels."""
+    n = F.least(F.size(one), F.size(two))
+    total = F.aggregate(F.zip_with(F.slice(one, F.lit(1), n), F.slice(two, F.lit(1), n), lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.when(n > 0, total / n)
+
+
+def luma(red: Column, green: Column, blue: Column) -> Column:
+    """Grey value by BT.601, cut to a whole number."""
+    return F.floor(0.299 * red + 0.587 * green + 0.114 * blue).cast("int")
+
+
+def iso_time(text: Column) -> Column:
+    """An ISO 8601 date of XMP as a timestamp; null if it isn't one."""
+    return F.try_to_timestamp(text)
+
+
 def round_half_even(x: Column) -> Column:
     return F.bround(x)
 

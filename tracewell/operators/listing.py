@@ -13,7 +13,11 @@ from ..functions.scalars import contains_ignore_case, extension
 #: Extensions that each kind of source lists (fixed values).
 MEDIA = {
     "folder": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif", ".avif", ".mp4", ".mov", ".avi", ".mkv"),
-}
+    "images": (
+        ".jpg", ".jpeg", ".jpe", ".jfif", ".png", ".gif", ".bmp", ".dib", ".tif", ".tiff", ".webp", ".heic", ".heif", ".avif",
+        ".cr2", ".cr3", ".nef", ".nrw", ".arw", ".srf", ".sr2", ".orf", ".rw2", ".pef", ".dng", ".raf", ".raw",
+    ),
+}
 
 
 def media_only(df: DataFrame, path: str, source: str = "folder") -> DataFrame:

@@ -5,6 +5,7 @@ Each parser takes bytes and returns a list of tuples. Damaged input ends the lis
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -23,26 +24,24 @@ def safely(parser: Callable[[bytes], list[tuple]]) -> Callable[[bytes | None], l
     return run
 
 
+#: An entry's header: mark, entry size, hash, then (from version 21 on, after the name) payload size and header size.
+_ENTRY = {False: "<4sIqii", True: "<4sIq64sii"}
+
+
 @safely
 def thumbcache(data: bytes) -> list[tuple]:
-    """(offset, hash, data_size, header_size, name) of the filled entries of a CMMM cache."""
+    """(offset, hash, data_size, header_size, name) of the filled entries of a CMMM cache: entries follow each other by their sizes."""
     magic, version = struct.unpack_from("<4sI", data)
-    if magic != b"CMMM":
-        return []
-    out, at = [], 32 if version >= 30 else 24
-    while at + 8 < len(data):
-        mark, size = struct.unpack_from("<4sI", data, at)
-        if mark != b"CMMM" or size < 8 or at + size > len(data):
+    layout, out = _ENTRY[version >= 21], []
+    place = 32 if version >= 30 else 24
+    room, least = len(data) - place if magic == b"CMMM" else 0, struct.calcsize(layout)
+    while room >= least:
+        mark, size, key, *name, payload, header = struct.unpack_from(layout, data, place)
+        if mark != magic or not least <= size <= room:
             break
-        entry = data[at : at + min(size, 200)].ljust(200, b"\0")
-        key = struct.unpack_from("<q", entry, 8)[0]
-        name = ""
-        if version >= 21:
-            name = entry[16:80].decode("utf-16-le", "replace").split("\0", 1)[0]
-        payload, header = struct.unpack_from("<ii", entry, 80 if version >= 21 else 16)
-        if payload > 0 and header > 0:
-            out.append((at, key, payload, header, name))
-        at += size
+        if min(payload, header) > 0:
+            out.append((place, key, payload, header, name[0].decode("utf-16-le", "replace").partition("\0")[0] if name else ""))
+        place, room = place + size, room - size
     return out
 
 
@@ -142,24 +141,20 @@ def thumbs_db_payload(data: bytes, stream: str) -> bytes | None:
     return payload[start:] if start >= 0 else None
 
 
+#: A marker that isn't stuffing, a restart or temporary mark: the end of the image, or the start of a segment with a length.
+_MARKER = re.compile(rb"\xff+([\x02-\xcf\xd8-\xfe])")
+
+
 def jpeg_end(data: bytes, start: int) -> int | None:
     """Where the JPEG that begins at ``start`` ends, by its marker structure; None if it has no end."""
-    limit, at = min(len(data), start + CARVE_CAP), start + 2
-    while at + 1 < limit:
-        at = data.find(b"\xff", at, limit)  # scan data up to the next marker
-        if at < 0 or at + 1 >= limit:
+    limit, place = min(len(data), start + CARVE_CAP), start + 2
+    while mark := _MARKER.search(data, place, limit):
+        if mark[1] == b"\xd9":
+            return mark.end()
+        length = int.from_bytes(data[mark.end() : min(mark.end() + 2, limit)])  # scan data follow a segment up to the next marker
+        if length < 2:
             return None
-        marker = data[at + 1]
-        if marker == 0xD9:
-            return at + 2
-        if marker == 0xFF:
-            at += 1
-        elif marker in (0x00, 0x01) or 0xD0 <= marker <= 0xD7:
-            at += 2
-        else:
-            if at + 4 > limit or (length := int.from_bytes(data[at + 2 : at + 4])) < 2:
-                return None
-            at += 2 + length
+        place = mark.end() + length
     return None
 
 
@@ -335,7 +330,7 @@ def exif(data: bytes) -> list[tuple]:
             elif kind in (3, 4, 9):
                 value = " ".join(str(x) for (x,) in struct.iter_unpack(order + {3: "H", 4: "I", 9: "i"}[kind], raw))
             else:
-                value = raw[:64].hex()
+                value = raw.hex()
             if tag in (0x8769, 0x8825, 0xA005):
                 todo.append(({0x8769: "Exif", 0x8825: "GPS", 0xA005: "Interop"}[tag], int(value.split()[0])))
             out.append((name, tag, value))
@@ -353,3 +348,112 @@ def exif_thumbnail(data: bytes) -> bytes | None:
     start, size = int(tags[0x201]), int(tags[0x202])
     found = data[at + start : at + start + size]
     return found if len(found) == size > 0 else None
+
+
+def _rational(text: str) -> float:
+    top, _, under = text.partition("/")
+    return int(top) / int(under) if under and int(under) else float(top if not under else 0)
+
+
+#: Directory, tag and name of what a summary holds as text (fixed values).
+SUMMARY = (
+    ("IFD0", 0x10F, "make"), ("IFD0", 0x110, "model"), ("IFD0", 0x131, "software"), ("IFD0", 0x132, "header_time"), ("IFD0", 0x10E, "description"), ("IFD0", 0x8298, "copyright"), ("IFD0", 0x13B, "artist"), ("IFD0", 0x112, "orientation"),
+    ("Exif", 0x9003, "original_time"), ("Exif", 0x9004, "digitized_time"), ("Exif", 0xA002, "width"), ("Exif", 0xA003, "height"), ("Exif", 0x829A, "exposure"), ("Exif", 0x829D, "aperture"), ("Exif", 0x8827, "iso"), ("Exif", 0x920A, "focal_length"), ("Exif", 0xA434, "lens"), ("Exif", 0xA001, "color_space"),
+)
+
+
+def _degrees(tags: dict, value: int, reference: int, negative: str) -> str | None:
+    parts = [_rational(x) for x in tags.get(("GPS", value), "").split()]
+    if len(parts) != 3:
+        return None
+    found = parts[0] + parts[1] / 60 + parts[2] / 3600
+    return repr(-found if tags.get(("GPS", reference), "").upper().startswith(negative) else found)
+
+
+@safely
+def metadata_summary(data: bytes) -> list[tuple]:
+    """(name, value) of the summary of a JPEG: Exif fields, the place in degrees, the frame's size where Exif has none, and what the XMP declares."""
+    tags = {}
+    for directory, tag, value in exif(data):
+        tags.setdefault((directory, tag), value)
+    found = {name: tags[d, t].strip() for d, t, name in SUMMARY if tags.get((d, t), "").strip()}
+    latitude, longitude = _degrees(tags, 2, 1, "S"), _degrees(tags, 4, 3, "W")
+    if latitude and longitude and (float(latitude) or float(longitude)):
+        found |= {"latitude": latitude, "longitude": longitude}
+    stamp, time = tags.get(("GPS", 0x1D), ""), [int(_rational(x)) for x in tags.get(("GPS", 7), "").split()]
+    if stamp and len(time) == 3:
+        found["gps_time"] = f"{stamp} {time[0]:02}:{time[1]:02}:{time[2]:02}"
+    frame = next((o for o, m, n, _ in jpeg_segments(data) if m in SOF and n >= 7), None)
+    if "width" not in found and frame is not None:
+        height, width = struct.unpack_from(">HH", data, frame + 5)
+        found |= {"width": str(width), "height": str(height)}
+    declared = {p: v for p, _, v in xmp(data)}
+    for name, path in (("xmp_tool", "xmp:CreatorTool"), ("xmp_created", "xmp:CreateDate"), ("xmp_modified", "xmp:ModifyDate"), ("depth_format", "GDepth:Format"), ("depth_mime", "GDepth:Mime"), ("gain_map_version", "hdrgm:Version"), ("motion_photo", "GCamera:MotionPhoto"), ("motion_photo_version", "GCamera:MotionPhotoVersion")):
+        if declared.get(path):
+            found[name] = declared[path]
+    return sorted(found.items())
+
+
+#: Part of a namespace to the name of its directory; the first that fits counts (fixed values).
+XMP_DIRECTORIES = (
+    ("depthmap", "XMP GDepth"), ("google.com/photos/1.0/image", "XMP GImage"), ("google.com/photos/1.0/camera", "XMP GCamera"), ("hdr-gain-map", "XMP HDR Gain Map"), ("xap/1.0", "XMP Core"),
+    ("dc/elements", "XMP Dublin Core"), ("photoshop", "XMP Photoshop"), ("tiff", "XMP TIFF"), ("exif", "XMP EXIF"),
+)
+_RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+
+
+def xmp_packets(data: bytes) -> tuple[bytes, bytes]:
+    """The XMP packet of a JPEG and its extension, put together from chunks in the order of their offsets."""
+    main, chunks = b"", {}
+    for place, _, length, name in jpeg_segments(data):
+        body = data[place + 4 : place + 2 + length]
+        if name == "XMP" and not main:
+            main = body[29:]
+        elif name == "XMP extension" and len(body) >= 75:
+            chunks[int.from_bytes(body[71:75])] = body[75:]  # the last of an offset counts
+    return main, b"".join(chunks[k] for k in sorted(chunks))
+
+
+@safely
+def xmp(data: bytes) -> list[tuple]:
+    """(path, directory, value) of the properties in a JPEG's XMP packet and its extension; nested ones have a path."""
+    from xml.etree import ElementTree
+
+    out: list[tuple] = []
+    for packet in xmp_packets(data):
+        start, stop = packet.find(b"<"), packet.rfind(b">") + 1
+        if start < 0 or b"<!DOCTYPE" in packet:
+            continue
+        names: dict[str, str] = {}
+        try:
+            for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(packet[start:stop]), ("start-ns",)):
+                names.setdefault(uri, prefix)
+            root = ElementTree.fromstring(packet[start:stop])
+        except ElementTree.ParseError:
+            continue
+
+        def told(qualified: str, names=names) -> tuple[str, str]:
+            uri, _, local = qualified[1:].partition("}")
+            low = uri.lower()
+            return f"{names.get(uri, 'ns')}:{local}", next((d for k, d in XMP_DIRECTORIES if k in low), "XMP")
+
+        todo = [(d, "") for rdf in root.iter(f"{_RDF}RDF") for d in rdf.findall(f"{_RDF}Description")]
+        while todo:
+            node, path = todo.pop(0)
+            for key, value in node.attrib.items():
+                if key.startswith("{") and not key.startswith((_RDF, "{http://www.w3.org/XML")):
+                    name, directory = told(key)
+                    out.append((path + name, directory, value))
+            for child in node:
+                if child.tag.startswith(_RDF):
+                    todo.append((child, path))
+                    continue
+                name, directory = told(child.tag)
+                text = (child.text or "").strip()
+                items = [(x.text or "").strip() for x in child.iter(f"{_RDF}li")]
+                if text:
+                    out.append((path + name, directory, text))
+                elif any(items):
+                    out += [(f"{path}{name}[{i}]", directory, x) for i, x in enumerate(items, 1) if x]
+                todo += [(child, f"{path}{name}/")] if child.attrib or any(True for _ in child.iter(f"{_RDF}Description")) else []
+    return out

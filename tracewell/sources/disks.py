@@ -18,7 +18,7 @@ def partitions(image: bytes) -> list[tuple[int, int]]:
     if len(image) >= 1024 and image[512:520] == b"EFI PART":
         table, n, size = struct.unpack_from("<QII", image, 512 + 72)
         found = []
-        for i in range(min(n, 256)):
+        for i in range(min(n, (len(image) - table * 512) // max(size, 128))):
             entry = image[table * 512 + i * size :][:size]
             if len(entry) >= 48 and any(entry[:16]):
                 first, last = struct.unpack_from("<QQ", entry, 32)
@@ -71,8 +71,9 @@ class Fat:
             cluster = self.following(cluster)
         return b"".join(parts)
 
-    def files(self, directory: bytes | None = None, path: str = "", depth: int = 0) -> Iterator[tuple]:
-        """(path, size, deleted, cluster) of all files."""
+    def files(self, directory: bytes | None = None, path: str = "", depth: int = 0, seen: set[int] | None = None) -> Iterator[tuple]:
+        """(path, size, deleted, cluster) of all files but deleted ones of size 0; a directory that a damaged volume names again is walked once."""
+        seen = set() if seen is None else seen
         if directory is None:
             directory = self.chain(self.root) if self.kind == 32 else self.volume[self.root_at :][: self.roots * 32]
         if depth > MAX_DEPTH:
@@ -98,9 +99,10 @@ class Fat:
             high, low, size = *struct.unpack_from("<H", entry, 20), *struct.unpack_from("<HI", entry, 26)
             cluster = high << 16 | low
             if attributes & 0x10:
-                if not deleted and entry[0] != 0x2E:
-                    yield from self.files(self.chain(cluster), f"{path}{name}/", depth + 1)
-            else:
+                if not deleted and entry[0] != 0x2E and cluster not in seen:
+                    seen.add(cluster)
+                    yield from self.files(self.chain(cluster), f"{path}{name}/", depth + 1, seen)
+            elif size or not deleted:
                 yield f"{path}{name}", size, deleted, cluster
 
     def read(self, cluster: int, size: int, deleted: bool) -> bytes | None:
@@ -132,7 +134,8 @@ class ExFat:
             (cluster,) = struct.unpack_from("<I", self.volume, self.fat_at + cluster * 4)
         return b"".join(parts)
 
-    def files(self, cluster: int | None = None, path: str = "", depth: int = 0) -> Iterator[tuple]:
+    def files(self, cluster: int | None = None, path: str = "", depth: int = 0, seen: set[int] | None = None) -> Iterator[tuple]:
+        seen = set() if seen is None else seen
         directory = self.chain(self.root if cluster is None else cluster)
         at = 0
         while at + 32 <= len(directory) and depth <= MAX_DEPTH:
@@ -150,9 +153,10 @@ class ExFat:
                 name = raw.decode("utf-16-le", "replace")[: stream[3]]
                 start, size = struct.unpack_from("<IQ", stream, 20)
                 if struct.unpack_from("<H", directory, at + 4)[0] & 0x10:
-                    if kind & 0x80:
-                        yield from self.files(start, f"{path}{name}/", depth + 1)
-                elif not kind & 0x80:
+                    if kind & 0x80 and start not in seen:
+                        seen.add(start)
+                        yield from self.files(start, f"{path}{name}/", depth + 1, seen)
+                elif not kind & 0x80 and size:
                     yield f"{path}{name}", size, True, start
             at += 32 * (n + 1)
 

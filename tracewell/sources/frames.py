@@ -23,6 +23,8 @@ PARSERS: dict[str, tuple[Callable[[bytes], list[tuple]], str]] = {
     "jpeg_findings": (containers.jpeg_findings, "id string, priority int, observed int, interpreted int"),
     "heic": (containers.heic, "kind string, item long, type string, target long"),
     "exif": (containers.exif, "directory string, tag int, value string"),
+    "xmp": (containers.xmp, "property string, directory string, value string"),
+    "metadata_summary": (containers.metadata_summary, "name string, value string"),
     "disk_files": (disks.media_files, "partition int, filesystem string, file string, size long, deleted boolean, reference long"),
 }
 
