@@ -8,8 +8,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 import public_tokenizers as P
+import pytest
+import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -517,19 +518,48 @@ def test_order_minhash(spark, docs, odd, empty):
     assert len(lone) == 1 and lone[0].near_next == 1.0
 
 
-def test_order_minhash_compares_across_few_words(spark):
-    text = [f"word{i}" for i in range(30)]
-    for n, m in ((23, 24), (22, 24), (25, 21), (23, 23), (2, 3)):
-        rows = [(1, " ".join(text[:n])), (2, " ".join(text[:m]))]
-        got = {r.doc_id: r for r in order_minhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        assert got[1].near_next == got[2].near_next > 0.4
-        assert order_minhash.compare(*(t for _, t in rows)) == got[1].near_next
+def test_order_minhash_is_alike_at_all_lengths(spark):
+    text = [f"word{i}" for i in range(70)]
+    for n in range(1, 61):
+        near = order_minhash.likeness(order_minhash.sketch(" ".join(text[:n])), order_minhash.sketch(" ".join(text[: n + 1])))
+        assert near > (0.1 if n < 3 else 0.5 if n < 8 else 0.75)
     for half in ("a b c d e f g h i j k l m n o p " * 4, "longerwords " * 60):
         rows = [(1, " ".join(text[:23])), (2, half)]
         got = {r.doc_id: r for r in order_minhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got[1].near_edited > 0
     # texts without anything in common stay apart
-    assert order_minhash.compare("a b c d", " ".join(text)) == 0.0 and order_minhash.compare("", " ".join(text)) == 0.0
+    assert order_minhash.likeness(order_minhash.sketch("a b c d"), order_minhash.sketch(" ".join(text))) == 0.0
+
+
+def test_order_minhash_by_brute_force():
+    """The method in plain Python: all k-mers sorted for each function."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    def numbered(units, k):
+        seen, out = Counter(), []
+        for i in range(max(1, len(units) - k + 1)):
+            h = 0
+            for j, u in enumerate(units[i : i + k]):
+                h = mix(h + 0x9E3779B97F4A7C15 & full) ^ (u * (2 * j + 0x5851F42D4C957F2D) & full)
+            out.append(mix(h + seen[h] * 0xD6E8FEB86659FD93 & full))
+            seen[h] += 1
+        return out
+
+    rng = random.Random(5)
+    for text in ["one", "a a a a a a", "x y", *(" ".join(rng.choices(["ab", "cde", "é", "日本"], k=n)) for n in (3, 23, 24, 60))]:
+        by_words = numbered([xxhash.xxh3_64_intdigest(w.encode()) for w in text.split()], 2)
+        by_chars = numbered([c * 0x9E3779B97F4A7C15 & full for c in [0x110000] * 4 + [ord(c) for c in text] + [0x110000] * 4], 5)
+        seeds = [mix(i * 0x9E3779B97F4A7C15 & full) for i in range(1, 129)]
+        for f, got in enumerate(order_minhash.sketch(text)):
+            x = by_chars if f % 4 == 3 else by_words
+            least = sorted(sorted(range(len(x)), key=lambda i: (((seeds[f] | 1) * x[i] + seeds[64 + f]) & full, i))[:2])
+            one, two = (x[least[0]], x[least[1]]) if len(least) == 2 else (0, x[least[0]])
+            assert got == mix((mix(one + 0x9E3779B97F4A7C15 & full) + two) & full) >> 32
 
 
 # 10

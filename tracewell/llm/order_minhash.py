@@ -1,12 +1,12 @@
 """Order MinHash fingerprints, which follow edit distance, and a document's likeness to its neighbours.
 
-For each of ``sketches`` hash functions the two least of a text's occurrence-numbered k-mers (of
-words; of characters in a text of few words) are taken, put in the order of the text, and hashed as a tuple. Two texts share a tuple only if
-they share both k-mers in the same order. The square root of the share of equal tuples puts the
+For each of ``sketches`` hash functions the two least of a text's occurrence-numbered k-mers are
+taken, put in the order of the text, and hashed as a tuple. Two texts share a tuple only if they
+share both k-mers in the same order. The square root of the share of equal tuples puts the
 likeness on the scale of single k-mers: 0 without any, 1 for equal texts.
 
-Sketches of character and of word k-mers don't compare. So where one of two texts is of few words and
-the other isn't, :func:`compare` takes the words of both; fingerprints are those of each text alone.
+Three of four functions take k-mers of words, every fourth those of characters, in all texts alike:
+words tell long texts apart, and characters texts of a few words, of which an edit spares few.
 
 Defined cases: a null text is empty; an empty text (or one of white space) has an empty
 fingerprint, alike (1) to another empty one only; a text shorter than a k-mer is one k-mer; equal
@@ -28,9 +28,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import keyed
 
-K = 2
-#: Texts of fewer words than FEW use k-mers of so many characters.
-FEW, K_CHARS = 24, 5
+#: Words and characters of a k-mer.
+K, K_CHARS = 2, 5
+#: What stands before and after a text, so that its k-mers of characters are more than one: no code point.
+BEYOND = 0x110000
+#: Every so manieth function takes k-mers of characters.
+CHARS_EVERY = 4
 SKETCHES = 64
 _STEP = 32_768
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,25 +50,12 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def few(text: str) -> bool:
-    """Whether a text is of few words (and of one at least), so that its k-mers are of characters."""
-    return 0 < len(text.encode("utf-8", "surrogatepass").split(None, FEW)) < FEW
-
-
-def kmers(text: str, k: int = K, words_only: bool = False) -> np.ndarray:
-    """Hashes of the occurrence-numbered k-mers in text order; with ``words_only``, of words in short texts too."""
-    digest = xxhash.xxh3_64_intdigest
-    split = text.encode("utf-8", "surrogatepass").split()
-    if not split:
-        return np.empty(0, dtype=np.uint64)
-    if len(split) < FEW and not words_only:
-        words, k = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) * _ODD, K_CHARS
-    else:
-        words = np.array([digest(w) for w in split], dtype=np.uint64)
-    n = max(1, len(words) - k + 1)
+def _numbered(units: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the occurrence-numbered k-mers of a sequence, in its order."""
+    n = max(1, len(units) - k + 1)
     h = np.zeros(n, dtype=np.uint64)
-    for j in range(min(k, len(words))):
-        h = _mix(h + _ODD) ^ (words[j : j + n] * np.uint64(2 * j + 0x5851F42D4C957F2D))
+    for j in range(min(k, len(units))):
+        h = _mix(h + _ODD) ^ (units[j : j + n] * np.uint64(2 * j + 0x5851F42D4C957F2D))
     order = np.argsort(h, kind="stable")
     first = np.empty(n, dtype=bool)
     first[0] = True
@@ -76,15 +66,21 @@ def kmers(text: str, k: int = K, words_only: bool = False) -> np.ndarray:
     return _mix(h + number * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch(text: str, k: int = K, sketches: int = SKETCHES, words_only: bool = False) -> np.ndarray:
-    """A 32-bit hash for each function; none for a text without words."""
-    x = kmers(text, k, words_only)
-    if not len(x):
-        return np.empty(0, dtype=np.uint32)
-    a, b = _multipliers(sketches)
-    rows = np.arange(sketches)
-    value = np.full((sketches, 2), np.iinfo(np.uint64).max, dtype=np.uint64)
-    place = np.full((sketches, 2), -1, dtype=np.int64)
+def kmers(text: str, k: int = K, k_chars: int = K_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the occurrence-numbered k-mers of words and of characters, in text order; none without words."""
+    split = text.encode("utf-8", "surrogatepass").split()
+    if not split:
+        return (np.empty(0, dtype=np.uint64),) * 2
+    edge = [BEYOND] * (k_chars - 1)
+    chars = np.concatenate([edge, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), edge]).astype(np.uint64) * _ODD
+    return _numbered(np.array([xxhash.xxh3_64_intdigest(w) for w in split], dtype=np.uint64), k), _numbered(chars, k_chars)
+
+
+def _pairs(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each function ``a * x + b`` a 32-bit hash of its two least k-mers in text order."""
+    rows = np.arange(len(a))
+    value = np.full((len(a), 2), np.iinfo(np.uint64).max, dtype=np.uint64)
+    place = np.full((len(a), 2), -1, dtype=np.int64)
     for at in range(0, len(x), _STEP):  # long texts in steps, so that memory doesn't follow their length
         h = a[:, None] * x[None, at : at + _STEP] + b[:, None]
         for _ in range(2):
@@ -98,8 +94,20 @@ def sketch(text: str, k: int = K, sketches: int = SKETCHES, words_only: bool = F
         value, place = np.take_along_axis(value, two, 1), np.take_along_axis(place, two, 1)
     place = np.sort(place, axis=1)
     one = np.where(place[:, 0] < 0, np.uint64(0), x[np.maximum(place[:, 0], 0)])
-    two = x[place[:, 1]]
-    return (_mix(_mix(one + _ODD) + two) >> np.uint64(32)).astype(np.uint32)
+    return (_mix(_mix(one + _ODD) + x[place[:, 1]]) >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(text: str, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
+    """A 32-bit hash for each function; none for a text without words."""
+    by_words, by_chars = kmers(text, k)
+    if not len(by_words):
+        return np.empty(0, dtype=np.uint32)
+    a, b = _multipliers(sketches)
+    of_chars = np.arange(sketches) % CHARS_EVERY == CHARS_EVERY - 1
+    out = np.empty(sketches, dtype=np.uint32)
+    for x, mine in ((by_words, ~of_chars), (by_chars, of_chars)):
+        out[mine] = _pairs(x, a[mine], b[mine])
+    return out
 
 
 def likeness(one: np.ndarray, two: np.ndarray) -> float:
@@ -108,14 +116,6 @@ def likeness(one: np.ndarray, two: np.ndarray) -> float:
     return float(np.sqrt((one == two).mean()))
 
 
-def compare(one: str, two: str, k: int = K, sketches: int = SKETCHES, made: tuple[np.ndarray, np.ndarray] | None = None) -> float:
-    """Likeness of two texts by k-mers of one kind; ``made`` has their own sketches where there are some."""
-    a, b = made or (sketch(one, k, sketches), sketch(two, k, sketches))
-    if len(a) and len(b) and few(one) != few(two):
-        a, b = (sketch(t, k, sketches, True) if few(t) else s for t, s in ((one, a), (two, b)))
-    return likeness(a, b)
-
-
 def as_text(one: np.ndarray) -> str:
     return one.astype(">u4").tobytes().hex()
 
@@ -196,4 +196,4 @@ def _compare(doc, text: str, own: np.ndarray, following: str, next_sketch: np.nd
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
     other = sketch(edited, k, sketches)
-    return doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(other), compare(text, edited, k, sketches, (own, other)), compare(text, following, k, sketches, (own, next_sketch))
+    return doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(other), likeness(own, other), likeness(own, next_sketch)
