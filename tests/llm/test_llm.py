@@ -107,12 +107,14 @@ def test_bpe_fold_in_spark(spark, docs):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = byte_bpe.read_ranks(f.read())
-    some = sorted({w for r in docs.limit(5).collect() for w in pieces(r.text, P.PATTERN)})[:60] + ["", " ", "é", "aaaa", "zzzzqqq"]
-    part = {k: v for k, v in ranks.items() if len(k) <= 3}
-    table = spark.createDataFrame([(w,) for w in some], "word string")
-    got = table.select("word", byte_bpe.merge_column(F.col("word"), byte_bpe.rank_literal(part, 64), 64).alias("ids")).collect()
+    some = sorted({w for r in docs.limit(20).collect() for w in pieces(r.text, P.PATTERN)}) + ["", " ", "é", "aaaa", "zzzzqqq", "日本語", "😀😀", None, "é"]
+    table = spark.createDataFrame([(w, w) for w in some], "word string, ids string")
+    tokens = F.from_json(F.lit(json.dumps([t.hex() for t, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
+    got = byte_bpe.fold_words(table, ranks).withColumn("back", byte_bpe.join_pieces(F.col("ids"), tokens)).collect()
+    assert Counter(r.word for r in got) == Counter(set(some) - {None})
     for r in got:
-        assert tuple(r.ids) == (byte_bpe.fold_merges(r.word.encode(), part) if r.word else ())
+        assert tuple(r.ids) == (byte_bpe.fold_merges(r.word.encode(), ranks) if r.word else ()) and bytes(r.back) == r.word.encode()
+    assert byte_bpe.fold_words(table.limit(0), ranks).count() == 0
 
 
 def test_fold_long_equals_short():

@@ -2,9 +2,9 @@
 
 Two forms share the rank table, which is read once from a vocabulary file and is of fixed size:
 
-* :func:`merge_column` folds the merges with Spark's higher-order functions over byte arrays, the
-  ranks being a literal map (dealt over small maps by hash, since a map is searched from its
-  start). It suits a table of distinct words.
+* :func:`fold_words` folds the merges with Spark's higher-order functions over the byte arrays of
+  distinct words, the ranks being a literal map (dealt over small maps by hash, since a map is
+  searched from its start); :func:`join_pieces` decodes. It suits a table of distinct words.
 * :func:`encode_documents` applies merges to whole documents: each task folds a word once and
   remembers it, so that nothing is exploded or shuffled. README.md has the figures that led to it.
 
@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable
+import json
+import zlib
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import pyarrow as pa
@@ -141,41 +143,73 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str =
     return arrow_map(keyed(df, id_col, text_col), compute, fields)
 
 
-def rank_literal(ranks: dict[bytes, int], shards: int = 4096) -> Column:
-    """The ranks as a literal: an array of small maps, one for each hash of a token."""
-    spark = SparkSession.active()
-    rows = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "token binary, rank int")
-    dealt = rows.groupBy(F.pmod(F.hash("token"), F.lit(shards)).alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct("token", "rank"))).alias("m"))
-    maps = {r["shard"]: r["m"] for r in dealt.collect()}  # of fixed size: the vocabulary's
-    empty = F.create_map().cast("map<binary,int>")
-    return F.array(*[F.create_map(*[F.lit(x) for k, v in maps[i].items() for x in (bytes(k), v)]) if i in maps else empty for i in range(shards)])
+def rank_literal(ranks: dict[bytes, int], shards: int = 16_384) -> Column:
+    """The ranks as a literal: an array of small maps by crc32, keyed by hexadecimal bytes.
+
+    One JSON constant, which the optimizer folds; a map literal of 50,000 columns takes minutes to plan.
+    """
+    maps: list[dict[str, int]] = [{} for _ in range(shards)]
+    for token, rank in ranks.items():
+        key = token.hex().upper()
+        maps[zlib.crc32(key.encode()) % shards][key] = rank
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def merge_column(word: Column, ranks: Column, shards: int = 4096) -> Column:
+def merge_column(word: Column, ranks: Column, shards: int = 16_384) -> Column:
     """Ids of a word's UTF-8 by higher-order functions alone: array<int>.
 
-    An outer fold runs once for each byte (no more merges can happen); its state is the array of
-    parts. Each step finds the leftmost pair of least rank and merges it; without one it returns
-    the state unchanged. Words without any pair keep their single bytes.
+    The word's bytes are an array, each in hexadecimal, which maps can be keyed by. A fold runs once
+    for each byte but the first (no more merges can happen); its state is the parts and the ranks of
+    the pairs of neighbours. A step merges the leftmost pair of least rank and looks up the two
+    pairs beside it anew; without such a pair it returns the state.
     """
-    raw = word.cast("binary")
+    none, nothing = 2**31 - 1, F.array().cast("array<int>")
 
     def rank(part: Column) -> Column:
-        return F.element_at(F.get(ranks, F.pmod(F.hash(part), F.lit(shards))), part)
-
-    start = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
-
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))).alias("r"), i.alias("i")))
-        best = F.array_min(F.filter(pairs, lambda p: p["r"].isNotNull()))
-        at = best["i"]
-        merged = F.concat(
-            F.slice(parts, F.lit(1), at - 1),
-            F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))),
-            F.slice(parts, at + 2, F.size(parts)),
-        )
-        return F.when((F.size(parts) < 2) | best.isNull(), parts).otherwise(merged)
-
-    parts = F.aggregate(F.sequence(F.lit(2), F.octet_length(raw)), start, step)
-    folded = F.when(F.octet_length(raw) == 1, start).otherwise(parts)
-    return F.when(F.octet_length(raw) == 0, F.array().cast("array<int>")).when(rank(raw).isNotNull(), F.array(rank(raw))).otherwise(F.transform(folded, rank))
+        return F.element_at(F.get(ranks, (F.crc32(part) % F.lit(shards)).cast("int")), part)
+
+    def of_pair(one: Column, two: Column) -> Column:
+        return F.coalesce(rank(F.concat(one, two)), F.lit(none))
+
+    def merged(state: Column, at: Column) -> Column:
+        parts, known, n = state["parts"], state["ranks"], F.size(state["parts"])
+
+        def around(part: Column) -> Column:
+            left = F.when(at > 1, F.array(of_pair(F.get(parts, at - 2), part))).otherwise(nothing)
+            right = F.when(at + 1 < n, F.array(of_pair(part, F.get(parts, at + 1)))).otherwise(nothing)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(part), F.slice(parts, at + 2, n)).alias("parts"),
+                F.concat(F.slice(known, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(known, at + 2, n)).alias("ranks"),
+            )
+
+        return _let(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1)), around)
+
+    def step(state: Column, _: Column) -> Column:
+        def least(best: Column) -> Column:
+            return F.when(best < none, _let(F.array_position(state["ranks"], best).cast("int"), lambda at: merged(state, at))).otherwise(state)
+
+        return _let(F.coalesce(F.array_min(state["ranks"]), F.lit(none)), least)
+
+    def folded(raw: Column) -> Column:
+        n = (F.length(raw) / 2).cast("int")
+        start = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, i * 2 - 1, F.lit(2)))
+        pairs = _let(start, lambda p: F.struct(p.alias("parts"), F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: of_pair(x, F.get(p, i + 1))).alias("ranks")))
+        done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), pairs, step)
+        return F.when(n == 0, nothing).when(rank(raw).isNotNull(), F.array(rank(raw))).otherwise(F.transform(done["parts"], rank))
+
+    return _let(F.hex(word.cast("binary")), folded)
+
+
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
+    """word, ids: each distinct word folded once, by higher-order functions."""
+    return words.select(F.col(word_col).alias("word")).where("word is not null").distinct().select("word", merge_column(F.col("word"), rank_literal(ranks)).alias("ids"))
+
+
+def join_pieces(ids: Column, tokens: Column) -> Column:
+    """The bytes of ids, whose hexadecimal pieces are in the array ``tokens`` by id."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
