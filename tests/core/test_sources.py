@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import duplicates, rules
-from tracewell.sources import containers, disks, frames, sinks
+from tracewell.sources import containers, disks, embedded, frames, sinks
 
 JPEG = bytes.fromhex("FFD8FFE00004AABBFFDA0003011122FF0033FFD9")
 NESTED = bytes.fromhex("FFD8FFE10006FFD8FFD9FFDA000255FFD9")
@@ -253,6 +253,59 @@ def test_xmp_and_summary(spark):
     assert {r.name: r.value for r in frames.parse(df, "metadata_summary").collect()}["xmp_tool"] == "Tool 1"
 
 
+def xmp_of(*properties):
+    spaces = "".join(f' xmlns:{p}="{u}"' for p, u in (("GDepth", "http://ns.google.com/photos/1.0/depthmap/"), ("GImage", "http://ns.google.com/photos/1.0/image/"), ("GCamera", "http://ns.google.com/photos/1.0/camera/"), ("hdrgm", "http://ns.adobe.com/hdr-gain-map/1.0/"), ("samsung", "http://ns.example.org/s/")))
+    body = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description{spaces} {" ".join(properties)}/></rdf:RDF></x:xmpmeta>'
+    return app1(b"http://ns.adobe.com/xap/1.0/\0" + body.encode())
+
+
+def mpf(order, size, offset):
+    """An index of two pictures; the second one's offset counts from the index's header."""
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}IH", 8, 2)
+    tags = struct.pack(f"{order}HHII", 0xB001, 4, 1, 2) + struct.pack(f"{order}HHII", 0xB002, 7, 32, 38) + bytes(4)
+    entries = struct.pack(f"{order}IIIHH", 0, 0, 0, 0, 0) + struct.pack(f"{order}IIIHH", 0, size, offset, 0, 0)
+    body = b"MPF\0" + head + tags + entries
+    return b"\xff\xe2" + struct.pack(">H", len(body) + 2) + body
+
+
+def test_embedded(spark):
+    scan = bytes.fromhex("FFDA0003011122FF0033FFD9")
+    second = b"\xff\xd8\xff\xdbsecond"
+    film = b"\0\0\0\x18ftypmp42film"
+
+    def found(data):
+        return [row[:6] for row in embedded.embedded(data)]
+
+    assert found(b"\xff\xd8" + scan) == found(PNG) == found(b"") == found(None) == []
+    assert found(b"\xff\xd8" + scan + b"abc") == []  # under four bytes
+    at = 2 + len(scan)
+    assert found(b"\xff\xd8" + scan + second) == [("SecondaryImage", "Secondary JPEG image", at, len(second), "image/jpeg", 80)]
+    assert found(b"\xff\xd8" + scan + film) == [("MotionPhotoVideo", "Embedded motion photo video", at, len(film), "video/mp4", 90)]
+    assert found(b"\xff\xd8" + scan + b"z" * 1500) == [("Unknown", "Unknown trailing data (1,500 bytes)", at, 1500, None, 70)]
+    # what XMP declares names the image that is there, and stays where nothing is
+    depth = xmp_of('GDepth:Format="RangeInverse"', 'GCamera:MotionPhoto="1"')
+    assert found(b"\xff\xd8" + depth + scan + second) == [("DepthMap", "Depth map", 2 + len(depth) + len(scan), len(second), "image/jpeg", 90), ("MotionPhotoVideo", "Motion photo video (XMP declared, not located)", None, None, "video/mp4", 65)]
+    assert [r[0] for r in found(b"\xff\xd8" + xmp_of('hdrgm:Version="1.0"', 'GImage:Mime="image/jpeg"') + scan)] == ["GainMap", "SecondaryImage"]
+    assert [r[0] for r in found(b"\xff\xd8" + xmp_of('samsung:DepthThing="1"', 'samsung:MicroVideo="1"') + scan)] == ["DepthMap", "MotionPhotoVideo"]
+    # base64 takes the place of a declaration, not of an image in the file
+    encoded = xmp_of('GDepth:Format="x"', 'GDepth:Data="/9j/4A=="', 'GImage:Data="iVBORw0KGgo="')
+    assert [(r[0], r[2], r[3], r[4], r[5], r[6]) for r in embedded.embedded(b"\xff\xd8" + encoded + scan)] == [("DepthMap", None, 4, "image/jpeg", 92, b"\xff\xd8\xff\xe0"), ("SecondaryImage", None, 8, "image/png", 90, b"\x89PNG\r\n\x1a\n")]
+    assert [r[1] for r in found(b"\xff\xd8" + encoded + scan + second)] == ["Depth map", "Secondary image (XMP base64)"]
+    assert found(b"\xff\xd8" + xmp_of('GDepth:Data="%%%"') + scan) == [("DepthMap", "Depth map (XMP declared, not yet extracted)", None, None, "image/jpeg", 70)]
+    # an index names the second image, which isn't reported again as trailing data
+    for order in "<>":
+        length = len(mpf(order, 0, 0))
+        for size in (len(second), 0):
+            data = b"\xff\xd8" + mpf(order, size, length - 8 + len(scan)) + scan + second
+            assert found(data) == [("SecondaryImage", "Secondary image (MPF)", 2 + length + len(scan), len(second), "image/jpeg", 88)]
+        assert found(b"\xff\xd8" + mpf(order, 5, 1 << 30) + scan) == []
+    assert embedded.multi_pictures(b"\xff\xd8\xff\xe2\0\x0aMPF\0II*\0" + scan) == []
+    two = b"\xff\xd8" + encoded + scan + film
+    df = spark.createDataFrame([("d/a.jpg", bytearray(two)), ("d/b.jpg", bytearray(b"\xff\xd8" + depth + scan)), ("c", None)], "path string, content binary")
+    files = frames.embedded_files(frames.parse(df, "embedded"), df).collect()
+    assert {(r.path, r.file): bytes(r.bytes) for r in files} == {("d/a.jpg", "a__artifact__motion_photo.mp4"): film, ("d/a.jpg", "a__artifact__depth_map.jpg"): b"\xff\xd8\xff\xe0", ("d/a.jpg", "a__artifact__secondary_image.png"): b"\x89PNG\r\n\x1a\n"}
+
+
 def test_frames(spark, tmp_path):
     con = sqlite3.connect(tmp_path / "m.db")
     con.execute("CREATE TABLE Files(fileID TEXT PRIMARY KEY, domain TEXT, relativePath TEXT, flags INTEGER, file BLOB)")

@@ -14,10 +14,10 @@ CARVE_CAP = 64 << 20
 JPEG_HEADER_CAP = 64 << 10
 
 
-def safely(parser: Callable[[bytes], list[tuple]]) -> Callable[[bytes | None], list[tuple]]:
-    def run(content: bytes | None) -> list[tuple]:
+def safely(parser: Callable[..., list[tuple]]) -> Callable[..., list[tuple]]:
+    def run(content: bytes | None, **options) -> list[tuple]:
         try:
-            return parser(content or b"")
+            return parser(content or b"", **options)
         except (struct.error, IndexError, ValueError, OverflowError):
             return []
 
@@ -145,9 +145,9 @@ def thumbs_db_payload(data: bytes, stream: str) -> bytes | None:
 _MARKER = re.compile(rb"\xff+([\x02-\xcf\xd8-\xfe])")
 
 
-def jpeg_end(data: bytes, start: int) -> int | None:
+def jpeg_end(data: bytes, start: int, cap: int = CARVE_CAP) -> int | None:
     """Where the JPEG that begins at ``start`` ends, by its marker structure; None if it has no end."""
-    limit, place = min(len(data), start + CARVE_CAP), start + 2
+    limit, place = min(len(data), start + cap), start + 2
     while mark := _MARKER.search(data, place, limit):
         if mark[1] == b"\xd9":
             return mark.end()
@@ -189,12 +189,12 @@ def carve(data: bytes) -> list[tuple]:
 
 
 @safely
-def jpeg_segments(data: bytes) -> list[tuple]:
-    """(offset, marker, length, app name) from the start to the scan, within the first 64 KiB; length -1 where it breaks off, 0 where it is malformed."""
+def jpeg_segments(data: bytes, cap: int = JPEG_HEADER_CAP) -> list[tuple]:
+    """(offset, marker, length, app name) from the start to the scan, within the first ``cap`` bytes; length -1 where it breaks off, 0 where it is malformed."""
     if data[:2] != b"\xff\xd8":
         return []
     out, at = [], 2
-    while at + 1 < min(len(data), JPEG_HEADER_CAP):
+    while at + 1 < min(len(data), cap):
         if data[at] != 0xFF:
             break
         marker = data[at + 1]
@@ -405,7 +405,7 @@ _RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 def xmp_packets(data: bytes) -> tuple[bytes, bytes]:
     """The XMP packet of a JPEG and its extension, put together from chunks in the order of their offsets."""
     main, chunks = b"", {}
-    for place, _, length, name in jpeg_segments(data):
+    for place, _, length, name in jpeg_segments(data, cap=len(data)):  # extensions are often longer than the header's limit
         body = data[place + 4 : place + 2 + length]
         if name == "XMP" and not main:
             main = body[29:]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import containers, disks
+from . import containers, disks, embedded
 
 PARSERS: dict[str, tuple[Callable[[bytes], list[tuple]], str]] = {
     "thumbcache": (containers.thumbcache, "offset long, hash long, data_size int, header_size int, name string"),
@@ -25,6 +25,7 @@ PARSERS: dict[str, tuple[Callable[[bytes], list[tuple]], str]] = {
     "exif": (containers.exif, "directory string, tag int, value string"),
     "xmp": (containers.xmp, "property string, directory string, value string"),
     "metadata_summary": (containers.metadata_summary, "name string, value string"),
+    "embedded": (embedded.embedded, "type string, name string, offset long, length long, media_type string, confidence int, payload binary"),
     "disk_files": (disks.media_files, "partition int, filesystem string, file string, size long, deleted boolean, reference long"),
 }
 
@@ -112,3 +113,21 @@ def payload(content: Column, offset: Column, length: Column) -> Column:
     """Bytes of a range; null where the content ends before it does."""
     part = F.substring(content, offset + 1, length)
     return F.when(F.octet_length(part) == length, part)
+
+
+def embedded_files(found: DataFrame, sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, file, bytes of the artifacts that :func:`parse` with ``embedded`` found and that can be had exactly.
+
+    A file is named after its source and type; of several of one type the later ones have a number.
+    """
+    from pyspark.sql import Window
+
+    from ..functions import scalars
+
+    base = scalars.stem(F.col("path"))
+    suffix = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in embedded.SUFFIXES.items()], F.lit("unknown_trailer"))
+    extension = F.coalesce(*[F.when(F.col("media_type") == k, v) for k, v in embedded.EXTENSIONS.items()], F.lit(".bin"))
+    nth = F.row_number().over(Window.partitionBy("path", "type").orderBy("offset", "length", "name"))
+    named = found.where("payload IS NOT NULL OR offset IS NOT NULL").withColumn("file", F.concat(base, F.lit("__artifact__"), suffix, F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), extension))
+    joined = named.join(sources.select(F.col(path).alias("path"), F.col(content).alias("content")), "path")
+    return joined.select("path", "file", F.coalesce("payload", payload(F.col("content"), F.col("offset"), F.col("length"))).alias("bytes")).where("octet_length(bytes) > 0")
