@@ -16,8 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import rules
-from .sources import disks, frames, sinks
+from .operators import listing, rules
+from .sources import frames, sinks
 
 #: Policies by name: which manifests they let run (fixed values).
 POLICIES: dict[str, Callable[[Manifest], bool]] = {
@@ -168,7 +168,7 @@ ANALYZERS = (
 PAYLOADS = {"core.analyzer.heic-structure": ("heic", 20), "core.analyzer.jpeg-integrity": ("jpeg_findings", 30), "core.analyzer.jpeg-artifacts": ("embedded", 40)}
 #: Sources by identifier (fixed values).
 SOURCES = (
-    Source("filesystem"), Source("core.source.folder", extensions=disks.MEDIA), Source("core.source.thumbsdb", "thumbs_db", (".db",)), Source("core.source.thumbcache", "thumbcache", (".db",)),
+    Source("filesystem"), Source("core.source.folder", extensions=listing.MEDIA["images"]), Source("core.source.thumbsdb", "thumbs_db", (".db",)), Source("core.source.thumbcache", "thumbcache", (".db",)),
     Source("core.source.zbthumbnail", "zb_thumbnails"), Source("iphone-backup", extensions=(".db",)), Source("disk-image", "disk_files"), Source("carved-artifact", "carve"),
 )
 
