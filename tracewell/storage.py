@@ -37,6 +37,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed_stash(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As :func:`stash`, in buckets by ``key``: joins and groups on it take the table as it lies."""
+    spark = df.sparkSession
+    table = f"tracewell_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tracewell/{table}"
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out._tracewell_path = path
+    return out
+
+
 def drop_stash(df: DataFrame) -> None:
     """Removes the files of a :func:`stash` that nothing reads any more."""
     if path := getattr(df, "_tracewell_path", None):
