@@ -100,7 +100,29 @@ def test_bpe_is_the_librarys(spark, docs, odd, empty):
         texts = [r.text or "" for r in df.collect()]
         want = Counter((len(i := enc.encode_ordinary(t)), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for t in texts)
         assert Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+        for bounds in ({"block_chars": 3000}, {"block_words": 1}):
+            again = byte_bpe.encode_by_words(df, path, P.PATTERN, **bounds)
+            assert again.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            assert Counter(map(tuple, again.collect())) == Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got)
     assert byte_bpe.encode_documents(empty, path, P.PATTERN).count() == 0
+    assert byte_bpe.encode_by_words(empty, path, P.PATTERN).count() == 0
+
+
+def test_bpe_blocks_meet_at_words(spark):
+    """A word of all blocks is folded once; words on either side of the bound for long ones; ids of any type."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = [" zqxjkvbp" + "w" * n for n in (0, 1, 118, 119, 120, 500)] + [" ñqxjzk" * 3, "ü" * 64, "ü" * 65]
+    rows = [(f"id{i}", texts[i % len(texts)] + " zqxjkvbp") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = byte_bpe.encode_by_words(df, path, P.PATTERN, block_chars=100)
+    want = byte_bpe.encode_documents(df, path, P.PATTERN)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(block") == 1  # documents stay where they are
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pieces_keep_to_their_pattern():
+    assert pieces("ab 12", r"\p{L}") == ["a", "b"]
 
 
 def test_bpe_fold_in_spark(spark, docs):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import drop_stash, stash  # noqa: F401  the operators take them from here
+from ..storage import bucketed_stash, drop_stash, stash  # noqa: F401  the operators take them from here
 
 #: White space that separates words everywhere here: blank and \t to \r, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -27,6 +27,9 @@ def _odd() -> re.Pattern:
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
 
 
+#: The pattern that the fast way stands for; any other one is matched as it is.
+PUBLIC = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 
@@ -36,7 +39,7 @@ def _exact(pattern: str) -> regex.Pattern:
 
 
 def pieces(text: str, pattern: str) -> list[str]:
-    """All matches of ``pattern`` (that of the public vocabularies) in the text."""
-    if not text.isascii() and _odd().search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    """All matches of ``pattern`` in the text."""
+    if pattern != PUBLIC or not text.isascii() and _odd().search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return _exact(pattern).findall(text)
     return _FAST.findall(text)

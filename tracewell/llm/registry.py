@@ -17,7 +17,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
-    return byte_bpe.encode_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), PATTERN)
+    return byte_bpe.encode_by_words(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
