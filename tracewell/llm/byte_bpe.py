@@ -8,7 +8,8 @@ Two forms share the rank table, which is read once from a vocabulary file and is
   folded words go to the blocks that hold them. :func:`fold_words` and :func:`join_pieces` encode
   and decode a table of words.
 * :func:`encode_documents` applies merges to whole documents: each task folds a word once and
-  remembers it, so that nothing is exploded or shuffled.
+  remembers it, so that nothing is exploded or shuffled. The registered query uses it; README.md
+  has the check tool's figures of both.
 
 Words of over 128 bytes are folded by a heap where they are met: the higher-order fold copies its
 state at each step, which is quadratic.
