@@ -81,3 +81,20 @@ def test_diameters_in_cells(dense, few):
     told = df.sparkSession.createDataFrame([("i0001", "x"), ("i0002", "x"), ("i0001", "y")], "item string, group_id string")
     got = duplicates.group_diameters(told, df.withColumn("h", F.when(F.col("p") != "i0002", F.col("h"))), "p", "h")
     assert {tuple(r) for r in got.collect()} == {("x", 2, 0), ("y", 1, 0)}
+
+
+def test_groups_from_fewer_links_than_pairs(dense, monkeypatch):
+    rows, df = dense
+    pairs, groups, _ = wanted(rows, 12)
+    taken = []
+    whole = duplicates.components
+    monkeypatch.setattr(duplicates, "components", lambda edges: whole((taken.append(edges.count()), edges)[1]))
+    assert {tuple(r) for r in duplicates.near_groups(df, "p", "h", 12).collect()} == groups
+    assert taken[0] < len(rows) < len(pairs)
+
+
+def test_groups_in_cells(dense, few):
+    rows, df = dense
+    for threshold in (1, 5, 12):
+        assert {tuple(r) for r in duplicates.near_groups(df, "p", "h", threshold).collect()} == wanted(rows, threshold)[1]
+    assert duplicates.near_groups(df.where("h = 0"), "p", "h", 12).count() == 0
