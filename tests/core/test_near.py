@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import cells, duplicates
+from tracewell.operators import cells, duplicates, passes
 
 
 def hashes(n, flips, seed=3):
@@ -98,3 +98,15 @@ def test_groups_in_cells(dense, few):
     for threshold in (1, 5, 12):
         assert {tuple(r) for r in duplicates.near_groups(df, "p", "h", threshold).collect()} == wanted(rows, threshold)[1]
     assert duplicates.near_groups(df.where("h = 0"), "p", "h", 12).count() == 0
+
+
+def test_findings_from_fewer_links_than_pairs(dense, monkeypatch):
+    rows, df = dense
+    groups = wanted(rows, 12)[1]
+    sizes = {g: sum(g == x for _, x in groups) for _, g in groups}
+    taken = []
+    whole = duplicates.components
+    monkeypatch.setattr(duplicates, "components", lambda edges: whole((taken.append(edges.count()), edges)[1]))
+    got = passes.near_duplicates(df.withColumn("d", F.when(F.col("p") < "i0002", "same").otherwise(F.col("p"))), "p", "h", "d", 12)
+    assert {(r.item, r.observation) for r in got.collect()} == {(i, f"Visually similar to {sizes[g] - 1} other file(s) in this folder (dHash distance ≤ 12).") for i, g in groups if i >= "i0002"}
+    assert taken[0] < len(rows)
