@@ -110,3 +110,28 @@ def test_findings_from_fewer_links_than_pairs(dense, monkeypatch):
     got = passes.near_duplicates(df.withColumn("d", F.when(F.col("p") < "i0002", "same").otherwise(F.col("p"))), "p", "h", "d", 12)
     assert {(r.item, r.observation) for r in got.collect()} == {(i, f"Visually similar to {sizes[g] - 1} other file(s) in this folder (dHash distance ≤ 12).") for i, g in groups if i >= "i0002"}
     assert taken[0] < len(rows)
+
+
+def test_pairs_without_probes_as_rows(dense):
+    rows, df = dense
+    pairs = wanted(rows, 16)[0]
+    got = duplicates.near_pairs(df, "p", "h", 16)
+    assert most_rows(got) <= max(len(pairs), 20 * len(rows))
+    assert {tuple(r) for r in got.collect()} == pairs
+
+
+def test_pairs_in_cells_and_bands(dense, few):
+    rows, df = dense
+    for threshold, bands in ((0, (1, 0)), (1, (1, 1)), (2, (3, 0)), (10, (4, 2))):
+        pairs = wanted(rows, threshold)[0]
+        got = duplicates.near_pairs(df, "p", "h", threshold).collect()
+        assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+        classes = duplicates._classes(df, "p", "h")
+        found = duplicates.banded_pairs(classes, threshold, 64, *bands)
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert {tuple(r) for r in found.collect()} == pairs
+
+
+def test_bands_only_where_they_leave_little():
+    assert duplicates.band_plan(16, 63, 100_000) is None and duplicates.band_plan(10, 64, 1_000_000) is None
+    assert duplicates.band_plan(2, 64, 10_000_000) and duplicates.band_plan(2, 64, 500) is None
