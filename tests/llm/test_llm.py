@@ -627,6 +627,23 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_packing_takes_long_runs_and_slices(spark, monkeypatch):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    long = ["x" + " " * 1_000_000 + "y z", "\n" * 1_000_000]  # the matcher's stack overflows on these
+    wanted = [[*tk.encode(t, add_special_tokens=False).ids, 0] for t in long]
+    got = packing.tokenised(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), path, P.PATTERN, part=1 << 30).collect()
+    assert [np.frombuffer(r.ids, "<u2").tolist() for r in sorted(got, key=lambda r: r.doc_id)] == wanted
+    encoding = tiktoken.Encoding("test", pat_str=P.PATTERN, mergeable_ranks=packing.ranks_of(path), special_tokens={})
+    monkeypatch.setattr(packing, "SLICE", 1)
+    for t in ["a b  c 1\n\n d's 's x\n y 2 ", *filter(None, ODD)]:
+        assert "".join(packing._slices(t, P.PATTERN)) == t
+        assert np.frombuffer(packing.ids_of(t, encoding, P.PATTERN), "<u2").tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
 def test_deal_balances_cost():
     rng = random.Random(2)
     lengths = [rng.randint(1, 1024) for _ in range(3000)]

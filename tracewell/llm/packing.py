@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import json
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -29,14 +31,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import keyed
-from .pretokens import pieces
+from .pretokens import PUBLIC, pieces
 
 CAPACITY = 1024
 #: Documents and bytes of text in a block, on average; at most one part of a document's tokens comes on top.
 BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Tokens in a part of a very long document: whole sequences.
 PART = 64 * CAPACITY
-MEMO = 400_000
+#: Characters that are encoded at once, at least: a list of their ids takes some 36 bytes for each.
+SLICE = 1 << 20
+_CUT = re.compile(r"[A-Za-z0-9](?=[ \n])")
 
 
 def deal(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -69,18 +73,30 @@ def deal(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quad
     return out
 
 
-class _Ids(dict):
-    """Little-endian 16-bit ids of each piece met; merges come from the vocabulary's ranks."""
+def _slices(text: str, pattern: str) -> Iterator[str]:
+    """Parts of a long text, cut where the pattern always ends a match: after a letter or digit, before a blank or line end."""
+    at = 0
+    while pattern == PUBLIC and len(text) - at > SLICE and (cut := _CUT.search(text, at + SLICE)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
 
-    def __init__(self, encoding):
-        self.encode = encoding.encode_ordinary
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = np.array(self.encode(piece), dtype="<u2").tobytes()
-        return out
+def ids_of(text: str, encoding, pattern: str) -> bytes:
+    """Little-endian 16-bit ids of a whole text.
 
-
-_MEMO: dict[int, _Ids] = {}
+    The library's matcher has a stack that runs of some 1,000,000 blanks overflow; such parts are split here, and each match merged as it is.
+    """
+    out = []
+    for part in _slices(text, pattern):
+        try:
+            ids = encoding.encode_ordinary(part)
+        except BaseException as failed:
+            if type(failed).__name__ != "PanicException":  # of no module that can be imported, and no Exception
+                raise
+            ids = [i for piece in pieces(part, pattern) for i in encoding._encode_single_piece(piece)]
+        out.append(np.array(array("H", ids), dtype="<u2").tobytes())
+    return b"".join(out)
 
 
 def _byte_of() -> dict[str, int]:
@@ -106,7 +122,7 @@ def tokenised(df: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, id_
     """doc_id, key (what deals to blocks), start, doc_tokens, and ids (16 bit, end token included): a row for each ``part`` tokens of each whole text.
 
     The vocabulary's merges run in the rank order of its ids, which equals the order of its merge
-    list; a test holds this against the tokenizers library. A word is merged once per task.
+    list; a test holds this against the tokenizers library. Texts are encoded whole.
     """
     spark = df.sparkSession
     table = ranks_of(vocabulary)  # 50,000 entries, of fixed size
@@ -117,22 +133,15 @@ def tokenised(df: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, id_
     src = keyed(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
     schema = T.StructType([src.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("key", "start", "doc_tokens")], T.StructField("ids", T.BinaryType())])
 
-    def memo_of() -> _Ids:
-        memo = _MEMO.get(0)
-        if memo is None or len(memo) > MEMO or getattr(memo, "of", None) != vocabulary:
-            import tiktoken
-
-            encoding = memo.encoding if memo is not None and memo.of == vocabulary else tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-            memo = _MEMO[0] = _Ids(encoding)
-            memo.encoding, memo.of = encoding, vocabulary
-        return memo
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
         arrow = to_arrow_schema(schema)
+        encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})  # some 20 ms a task
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            memo, met, rows = memo_of(), {}, []
+            met, rows = {}, []
             for d, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                ids = b"".join([memo[w] for w in pieces(text or "", pattern)]) + end
+                ids = ids_of(text or "", encoding, pattern) + end
                 for at in range(0, len(ids), 2 * part):
                     met[key] = n = met.get(key, -1) + 1  # parts and repeated rows go to a block each
                     rows.append((d, (key + n + 2**63) % 2**64 - 2**63, at // 2, len(ids) // 2, ids[at : at + 2 * part]))
